@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockml.llm import nbsvm, toxicity
 from blockml.llm.exact_dedup import exact_dedup
 from blockml.llm.packing import pack
 from blockml.llm.sharding import minimax_shards
@@ -26,7 +27,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr("doc_id", "shard", "octet_length(text) AS n_bytes")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_on_labels(spark, sf_dir)
+    scored = toxicity.with_toxicity(_documents(spark, sf_dir), model)
+    return scored.selectExpr("doc_id", "toxicity", "coalesce(toxicity > 0, false) AS toxic")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = nbsvm.fit_on_labels(spark, sf_dir)
+    scored = nbsvm.with_score(_documents(spark, sf_dir), model)
+    return scored.selectExpr("doc_id", "score", r"coalesce(score <= 0 AND text RLIKE '\\S', false) AS kept")
+
+
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
+    "op8_quality_classifier": op8_quality_classifier,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_sharding": op10_sharding,
