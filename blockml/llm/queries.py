@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockml.llm import langid, nbsvm, quality_rules, toxicity
 from blockml.llm.exact_dedup import exact_dedup
+from blockml.llm.jaccard_join import jaccard_join
 from blockml.llm.packing import pack
 from blockml.llm.sharding import minimax_shards
 from blockml.llm.warc import warc_round_trip
@@ -40,6 +41,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.selectExpr("doc_id", "score", r"coalesce(score <= 0 AND text RLIKE '\\S', false) AS kept")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_documents(spark, sf_dir), n=3, threshold=0.5)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return langid.identify(docs, langid.train(docs)).select("doc_id", "predicted", "distance")
@@ -56,6 +61,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_warc": op9_warc,
@@ -88,6 +94,16 @@ def _divergence(p: str, q: str) -> str:
 
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS l FROM documents),
+        g AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+                ELSE list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) END) AS g
+            FROM w WHERE len(l) > 0),
+        size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+        SELECT a AS doc_a, b AS doc_b, met.n AS overlap, round(met.n / (s.n + t.n - met.n), 6) AS jaccard
+        FROM met JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE met.n / (s.n + t.n - met.n) >= 0.5""",
     "op3_language_id": f"""
         WITH picked AS (
             SELECT * FROM (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k
