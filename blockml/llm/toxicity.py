@@ -32,6 +32,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def subwords(words: list[str], buckets: int, low: int = 3, high: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' character n-grams, word by word, and how many each word has."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = "".join([f"<{w}>" for w in words])
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -73,7 +75,10 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
     for t in texts:
         words = WORD.findall(t.lower())
         docs.append(said_once(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)))
-    flat, width = subwords(list(numbers), buckets)
+    words = list(numbers)
+    pieces = [subwords(words[k : k + 50_000], buckets) for k in range(0, max(1, len(words)), 50_000)]
+    flat = np.concatenate([p[0].astype(np.int32) for p in pieces])
+    width = np.concatenate([p[1] for p in pieces])
     begin = np.cumsum(width) - width
     y = toxic.astype(np.float64)
     E = rng.normal(0, 1e-3, (buckets, dim)).astype(np.float32)
@@ -86,7 +91,7 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
         words, n = np.unique(ids, return_counts=True)
         lens = width[words]
         at = np.repeat(begin[words] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        return flat[at], np.repeat(n, lens) / max(floor, (n * lens).sum())
+        return flat[at], (np.repeat(n, lens) / max(floor, (n * lens).sum())).astype(np.float32)
 
     steps = 0
     for round_ in range(rounds):
@@ -107,14 +112,15 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
         else:
             chosen, marks = docs, y
         weight = np.where(marks == 1, len(marks) / max(1, 2 * marks.sum()), len(marks) / max(1, 2 * (marks == 0).sum()))
-        parts = [bag(d) for d in chosen]
+        parts = [bag(d) for d in chosen] if round_ else None  # whole documents one batch at a time
         for _ in range(2 if round_ else epochs):
-            order = rng.permutation(len(parts))
+            order = rng.permutation(len(chosen))
             for k in range(0, len(order), batch_size):
                 batch = order[k : k + batch_size]
-                idx = np.concatenate([parts[i][0] for i in batch])
-                share = np.concatenate([parts[i][1] for i in batch]).astype(np.float32)
-                lens = np.array([len(parts[i][0]) for i in batch])
+                taken = [parts[i] if round_ else bag(chosen[i]) for i in batch]
+                idx = np.concatenate([t[0] for t in taken])
+                share = np.concatenate([t[1] for t in taken])
+                lens = np.array([len(t[0]) for t in taken])
                 row = np.repeat(np.arange(len(batch)), lens)
                 used = np.flatnonzero(np.bincount(idx, minlength=buckets))
                 # gradient of the mean: one softmax error for each row, spread by share
@@ -172,7 +178,7 @@ class Scorer:
 _SCORERS: dict = {}  # of this worker, so that words met in one task are known in the next
 
 
-def fit_on_labels(spark: SparkSession, sf_dir: str, max_rows: int = 5000) -> dict | None:
+def fit_on_labels(spark: SparkSession, sf_dir: str, max_rows: int = 4000) -> dict | None:
     """The model for ``labels.toxic``, from at most ``max_rows`` labelled documents; None where
     there are no labels or labels of one kind."""
     texts, toxic = training_rows(spark, sf_dir, "toxic", max_rows)
