@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockml.llm import langid, nbsvm, quality_rules, toxicity
+from blockml.llm import bpe, langid, nbsvm, quality_rules, toxicity
 from blockml.llm.exact_dedup import exact_dedup
 from blockml.llm.jaccard_join import jaccard_join
 from blockml.llm.packing import pack
@@ -16,6 +16,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text that they decode to."""
+    vocabulary = bpe.Vocabulary()
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.decode(bpe.encode(docs, vocabulary).drop("text"), vocabulary)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
@@ -62,6 +69,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_warc": op9_warc,
