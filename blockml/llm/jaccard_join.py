@@ -4,7 +4,7 @@
    n-gram, packed in arrays, which gives every n-gram its document frequency. N-grams of a single
    document can be in no overlap, so only the others go back to their documents, with the size
    of the full set.
-2. All n-grams are ordered by (document frequency, hash). Two sets with a Jaccard similarity of
+2. All n-grams are ordered by (binary order of magnitude of the document frequency, hash). Two sets with a Jaccard similarity of
    at least t share an n-gram among the first |x| - ceil(t |x|) + 1 of each (its prefix). A
    document whose prefix is made of its own n-grams only is done.
 3. A document goes to the group of each of its ``heads``, the prefix n-grams with the smallest
@@ -125,12 +125,13 @@ def _send_grams(n: int, buckets: int):
 
 
 _GRAMS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
-_BACK = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("df", pa.binary())])
+_BACK = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("level", pa.binary())])
 _SETS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("grams", pa.binary()), ("order", pa.binary())])
 
 
 def _frequencies(parts: int):
-    """One bucket: n-grams of two or more documents, with their frequency, by part of the document."""
+    """One bucket: n-grams of two or more documents, with their frequency's order of magnitude (one
+    byte instead of a count), by part of the document."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = np.repeat(_column(table, "ids", "<i8"), _column(table, "counts", "<u4").astype(np.int64))
@@ -150,7 +151,7 @@ def _frequencies(parts: int):
             mine, shared = ids[lo:hi], df[lo:hi] > 1
             first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             sizes = np.diff(np.append(first, hi - lo))
-            rows.append({"part": int(part[lo]), "ids": mine[first].tobytes(), "sizes": sizes.astype("<u4").tobytes(), "counts": np.add.reduceat(shared, first).astype("<u4").tobytes(), "grams": grams[lo:hi][shared].tobytes(), "df": np.minimum(df[lo:hi][shared], 2**32 - 1).astype("<u4").tobytes()})
+            rows.append({"part": int(part[lo]), "ids": mine[first].tobytes(), "sizes": sizes.astype("<u4").tobytes(), "counts": np.add.reduceat(shared, first).astype("<u4").tobytes(), "grams": grams[lo:hi][shared].tobytes(), "level": np.frexp(df[lo:hi][shared])[1].astype("u1").tobytes()})
         return pa.Table.from_pylist(rows, _BACK)
 
     return run
@@ -162,17 +163,17 @@ def _collect_sets(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         ids = _column(table, "ids", "<i8")
         sizes, counts = _column(table, "sizes", "<u4").astype(np.int64), _column(table, "counts", "<u4").astype(np.int64)
-        grams, df = _column(table, "grams", "<u8"), _column(table, "df", "<u4")
+        grams, level = _column(table, "grams", "<u8"), _column(table, "level", "u1")
         name, at = np.unique(ids, return_inverse=True)
         size = np.bincount(at, sizes, len(name)).astype(np.int64)
         owner = np.repeat(at, counts)
-        order = np.lexsort((grams, df, owner))
-        grams, df, owner = grams[order], df[order], owner[order]
+        order = np.lexsort((grams, level, owner))
+        grams, level, owner = grams[order], level[order], owner[order]
         shared = np.bincount(owner, minlength=len(name))
         begin = np.cumsum(shared) - shared
         prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 - (size - shared)
         rows = [
-            {"id": int(name[i]), "size": int(size[i]), "prefix": int(min(prefix[i], shared[i])), "grams": grams[begin[i] : begin[i] + shared[i]].tobytes(), "order": df[begin[i] : begin[i] + shared[i]].tobytes()}
+            {"id": int(name[i]), "size": int(size[i]), "prefix": int(min(prefix[i], shared[i])), "grams": grams[begin[i] : begin[i] + shared[i]].tobytes(), "order": level[begin[i] : begin[i] + shared[i]].tobytes()}
             for i in np.flatnonzero((prefix > 0) & (shared >= np.ceil(threshold * size - 1e-9)))
         ]
         return pa.Table.from_pylist(rows, _SETS)
@@ -324,10 +325,10 @@ def _join_group(threshold: float):
         head = np.array(table["head"][0].as_py()).view(np.uint64)
         ids, sizes = table["id"].to_numpy(), table["size"].to_numpy().astype(np.int64)
         grams = [np.frombuffer(g.as_buffer(), "<u8") for g in table["grams"]]
-        every, df = np.concatenate(grams), _column(table, "order", "<u4")
+        every, level = np.concatenate(grams), _column(table, "order", "u1")
         u, first = np.unique(every, return_index=True)
         number = np.empty(len(u), np.int64)
-        number[np.lexsort((u, df[first]))] = np.arange(len(u))
+        number[np.lexsort((u, level[first]))] = np.arange(len(u))
         lens = np.array(list(map(len, grams)))
         sequences = np.split(number[np.searchsorted(u, every)], np.cumsum(lens)[:-1])
         found = trie_join(sequences, sizes, len(u), threshold)
@@ -421,13 +422,13 @@ def _verify(batches):
 
 def shared_sets(docs: DataFrame, n: int, threshold: float, text: str, key: str) -> DataFrame:
     """Per document that can have a partner: id, size of its set, prefix length, and its shared
-    n-grams in global order with their document frequencies."""
+    n-grams in global order with the orders of magnitude of their document frequencies."""
     parts = shuffle_partitions(docs.sparkSession)
     named = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return (
         named.mapInArrow(_send_grams(n, parts), "bucket int, ids binary, counts binary, grams binary")
         .groupBy("bucket")
-        .applyInArrow(_frequencies(parts), "part int, ids binary, sizes binary, counts binary, grams binary, df binary")
+        .applyInArrow(_frequencies(parts), "part int, ids binary, sizes binary, counts binary, grams binary, level binary")
         .groupBy("part")
         .applyInArrow(_collect_sets(threshold), "id long, size int, prefix int, grams binary, order binary")
     )
