@@ -44,12 +44,12 @@ def char_wb_ngrams(text: Column, low: int, high: int, lowercase: bool = True) ->
     def of(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         n = F.length(padded)
-        parts = []
-        for k in range(low, high + 1):
-            runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.substring(padded, i, F.lit(k)))
-            short = F.array(padded) if k == low else F.array().cast("array<string>")
-            parts.append(F.when(n >= k, runs).otherwise(short))
-        return F.concat(*parts)
+
+        def runs(k: int) -> Column:
+            found = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(k)))
+            return F.when(n >= k, found).otherwise(F.array(padded) if k == low else F.array().cast("array<string>"))
+
+        return F.concat(*(runs(k) for k in range(low, high + 1)))
 
     return F.flatten(F.transform(words, of))
 

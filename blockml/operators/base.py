@@ -116,7 +116,7 @@ def summed(df: DataFrame, columns: list[str | Column], function) -> np.ndarray |
                 part = np.asarray(function(b), dtype=np.float64)
                 total, shape = (part if total is None else total + part), part.shape
         if total is not None:
-            yield pa.RecordBatch.from_pydict({"s": [total.ravel().tolist()], "shape": [list(shape)]})
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64())), pa.array([shape], pa.list_(pa.int32()))], names=["s", "shape"])
 
     got = df.select(*columns).mapInArrow(run, "s array<double>, shape array<int>")
     wide = got.select(F.posexplode("s").alias("i", "v"), "shape").groupBy("i").agg(F.sum("v").alias("v"), F.first("shape").alias("shape")).orderBy("i").collect()

@@ -89,8 +89,15 @@ def dbscan(df: DataFrame, eps: float, min_points: int, key: str = "row_id", x: s
     cell = F.array(*(F.floor(F.get("p", F.lit(i)) / eps) for i in range(d)))
     home = points.withColumn("cell", cell)
     around = F.array(F.array().cast("array<bigint>"))
+
+    def beside(c: Column, i: int) -> Column:
+        return F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda o: F.concat(c, F.array((F.get("cell", F.lit(i)) + o).cast("bigint"))))
+
+    def extended(cells: Column, i: int) -> Column:
+        return F.flatten(F.transform(cells, lambda c: beside(c, i)))
+
     for i in range(d):
-        around = F.flatten(F.transform(around, lambda c, i=i: F.transform(F.array(*(F.lit(o) for o in (-1, 0, 1))), lambda o: F.concat(c, F.array((F.get("cell", F.lit(i)) + o).cast("bigint"))))))
+        around = extended(around, i)
     reach = home.select(F.col("id").alias("id2"), F.col("p").alias("p2"), F.explode(around).alias("cell"))
     far = F.aggregate(F.zip_with("p", "p2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     pairs = materialise(home.join(reach, "cell").where(far <= eps * eps).select("id", "id2"), "dbscan-pairs")
