@@ -106,6 +106,7 @@ class Vocabulary:
         self.pairs = merges(self.ranks)
         keys = np.array([(a << ID_BITS) | b for a, b in self.pairs], np.int64)
         self.multipliers, slots = perfect_hash(keys)
+        self._literals: dict[str, Column] = {}
         value = {(a << ID_BITS) | b: r for (a, b), r in self.pairs.items()}
         # key and merged id in one number; -1 in an empty slot
         self.slots = [-1 if k < 0 else (k << ID_BITS) | value[k] for k in slots.tolist()]
@@ -114,15 +115,21 @@ class Vocabulary:
         for piece, rank in self.ranks.items():
             self.hex[rank] = piece.hex()
 
+    def _literal(self, name: str) -> Column:
+        """One Column for all uses, so that the plan holds one copy."""
+        if name not in self._literals:
+            self._literals[name] = _literal(getattr(self, name), "bigint")
+        return self._literals[name]
+
     def _rank(self, key: Column) -> Column:
         """The merged id of the pair, or a number above all ids."""
-        m = F.get(_literal(self.multipliers, "bigint"), key % len(self.multipliers))
-        found = F.get(_literal(self.slots, "bigint"), (key + 1) * m % PRIME % len(self.slots))
+        m = F.get(self._literal("multipliers"), key % len(self.multipliers))
+        found = F.get(self._literal("slots"), (key + 1) * m % PRIME % len(self.slots))
         return F.when(F.shiftright(found, ID_BITS) == key, found.bitwiseAND((1 << ID_BITS) - 1)).otherwise(F.lit(_NONE))
 
     def fold(self, word: Column) -> Column:
         """Ids of a word (a string column) by a fold of ranked merges over its bytes."""
-        code = _literal(self.bytes, "bigint")
+        code = self._literal("bytes")
         start = _let(
             F.hex(word.cast("binary")),
             lambda text: F.transform(
@@ -199,7 +206,6 @@ def _lookup(held, fold_bytes: int):
 
     def run(batches):
         dictionary, begin, width, ids, ranks, pairs = held.value
-        dictionary = pa.array(dictionary, pa.string()) if not isinstance(dictionary, pa.Array) else dictionary
         for b in batches:
             *others, lists = b.columns
             counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -236,7 +242,7 @@ def _lookup(held, fold_bytes: int):
     return run
 
 
-def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", max_words: int = 1_000_000, fold_bytes: int = 128) -> pa.Table:
+def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", max_words: int = 400_000, fold_bytes: int = 128) -> pa.Table:
     """(word, ids) of the most frequent words, ``max_words`` at most, of two or more occurrences.
 
     Words are counted over all documents; those left out are folded where they occur, so the
@@ -262,7 +268,7 @@ def encode(
     vocabulary: Vocabulary,
     text: str = "text",
     name: str = "tokens",
-    max_words: int = 1_000_000,
+    max_words: int = 400_000,
     fold_bytes: int = 128,
 ) -> DataFrame:
     """``docs`` with the ids of ``text`` as an array of int.
@@ -278,8 +284,9 @@ def encode(
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks)
     width = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = pa.concat_arrays(table["word"].cast(pa.string()).chunks) if table.num_rows else pa.array([], pa.string())
     held = spark.sparkContext.broadcast(
-        (table["word"].to_pylist(), np.cumsum(width) - width, width, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), vocabulary.ranks, vocabulary.pairs)
+        (known, np.cumsum(width) - width, width, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), vocabulary.ranks, vocabulary.pairs)
     )  # max_words words
     columns = [c for c in docs.columns if c.lower() != name.lower()]
     (segments,) = fresh(columns, "segments")
