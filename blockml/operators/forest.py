@@ -11,9 +11,10 @@ from blockml.operators.base import Classifier, classes_of
 
 
 class RandomForestClassifier(Classifier):
-    """One forest over all rows, grown level by level on histograms of binned features."""
+    """One forest over all rows, grown level by level on histograms of binned features. Trees grow to
+    depth 30, the library's limit, unless ``max_depth`` says less."""
 
-    def __init__(self, n_estimators: int = 10, criterion: str = "gini", max_depth: int = 10, min_samples_leaf: int = 1, max_features: str = "sqrt", seed: int = 0, x: str = "X", y: str = "y"):
+    def __init__(self, n_estimators: int = 10, criterion: str = "gini", max_depth: int = 30, min_samples_leaf: int = 1, max_features: str = "sqrt", seed: int = 0, x: str = "X", y: str = "y"):
         self.n_estimators, self.criterion, self.max_depth, self.min_samples_leaf = n_estimators, criterion, max_depth, min_samples_leaf
         self.max_features, self.seed, self.x, self.y = max_features, seed, x, y
 
