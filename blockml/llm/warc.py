@@ -2,8 +2,8 @@
 
 The writer turns a table of pages into compressed WARC files in the shared folder. The reader
 goes through a file in chunks with incremental zlib decompression, frames each record by its
-Content-Length, and verifies its SHA-1 block digest; one task reads one file at a time and holds
-one record.
+Content-Length, and verifies its block digest; one task reads one file at a time and holds one
+record.
 """
 
 from __future__ import annotations
@@ -89,6 +89,23 @@ def members(stream) -> Iterator[bytes | None]:
         yield None
 
 
+def verify(block: bytes, given: str | None) -> str:
+    """The status of a block with a labelled digest: any algorithm of hashlib with a fixed length, the
+    label in any case, the value in hexadecimal, base32 or base64, with or without padding."""
+    if given is None:
+        return "no_digest"
+    label, _, value = (x.strip() for x in given.partition(":"))
+    label, value = label.lower(), value.rstrip("=")
+    for name in dict.fromkeys((label, label.replace("-", ""), label.replace("-", "_"))):
+        try:
+            digest = hashlib.new(name, block, usedforsecurity=False).digest()
+        except (ValueError, TypeError):  # not known here, or of no fixed length
+            continue
+        b32, b64 = (encode(digest).decode().rstrip("=") for encode in (base64.b32encode, base64.b64encode))
+        return "ok" if value.lower() == digest.hex() or value.upper() == b32 or value == b64 else "bad_digest"
+    return "unknown_digest"
+
+
 def parse(member: bytes) -> dict | None:
     """A row for one record; None for records that are no resource or response."""
     head, found, rest = member.partition(b"\r\n\r\n")
@@ -107,12 +124,10 @@ def parse(member: bytes) -> dict | None:
     row = {"page_id": int(name[9:]) if name.startswith("urn:page:") else None, "url": url, "n_bytes": len(block)}
     if len(block) < int(size) or rest[int(size) :] != b"\r\n\r\n":
         return row | {"status": "bad_length"}
-    digest = hashlib.sha1(block)
-    given = fields.get("warc-block-digest")
-    row["status"] = "no_digest" if given is None else "ok" if given == "sha1:" + base64.b32encode(digest.digest()).decode() else "bad_digest"
+    row["status"] = verify(block, fields.get("warc-block-digest"))
     if row["status"] != "bad_digest" and "x-null-block" not in fields:
         row["html"] = block.decode("utf-8", "replace")
-        row["sha1"] = digest.hexdigest()
+        row["sha1"] = hashlib.sha1(block).hexdigest()
     return row
 
 
@@ -120,9 +135,10 @@ def read_warc(spark: SparkSession, uris: list[str]) -> DataFrame:
     """A row per resource or response record of the files: page_id, url, html, sha1 (of the
     block), n_bytes, status.
 
-    Status is ok, no_digest, bad_digest, bad_length (framing disagrees with Content-Length),
-    bad_header, or corrupt (the file breaks off or isn't gzip; nothing after that point is read).
-    Only ok and no_digest rows have html. Nulls come back as nulls, empty blocks as "". Repeated
+    Status is ok, no_digest, unknown_digest (an algorithm that isn't known here), bad_digest,
+    bad_length (framing disagrees with Content-Length), bad_header, or corrupt (the file breaks off
+    or isn't gzip; nothing after that point is read). Only ok, no_digest and unknown_digest rows have
+    html. Nulls come back as nulls, empty blocks as "". Repeated
     records give repeated rows; no files give an empty table.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("sha1", pa.string()), ("n_bytes", pa.int64()), ("status", pa.string())])

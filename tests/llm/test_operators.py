@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out labels; nulls, empty and very
 long texts, repeated rows, empty tables and clashing column names."""
 
+import base64
 import hashlib
 import random
 import re
@@ -266,3 +267,19 @@ def test_warc_damage(spark, tmp_path):
     assert warc.parse(head + b"text\r\n\r\n")["status"] == "bad_digest"
     assert warc.parse(head + b"tex\r\n\r\n")["status"] == "bad_length"
     assert warc.parse(b"HTTP\r\n\r\n")["status"] == "bad_header"
+
+
+@pytest.mark.parametrize("algorithm", ["sha1", "SHA1", "Sha-1", "sha256", "sha-512", "md5", "sha3-256", "blake2b"])
+def test_warc_digests(algorithm):
+    name = {"sha-1": "sha1", "sha-512": "sha512", "sha3-256": "sha3_256"}.get(algorithm.lower(), algorithm.lower())
+    read = lambda value: warc.parse(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4\r\nWARC-Block-Digest: {algorithm}:{value}\r\n\r\ntext\r\n\r\n".encode())
+    right, wrong = (hashlib.new(name, b).digest() for b in (b"text", b"tex!"))
+    for written in (bytes.hex, lambda d: d.hex().upper(), lambda d: base64.b32encode(d).decode(), lambda d: base64.b32encode(d).decode().rstrip("=").lower(), lambda d: base64.b64encode(d).decode()):
+        assert (read(written(right))["status"], read(written(right))["html"]) == ("ok", "text")
+        assert read(written(wrong))["status"] == "bad_digest" and "html" not in read(written(wrong))
+
+
+@pytest.mark.parametrize("digest", ["crc32:1234", "AAAA", "shake_128:00"])
+def test_warc_unknown_digest(digest):
+    got = warc.parse(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4\r\nWARC-Block-Digest: {digest}\r\n\r\ntext\r\n\r\n".encode())
+    assert (got["status"], got["html"]) == ("unknown_digest", "text")
