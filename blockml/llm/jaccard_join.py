@@ -1,18 +1,21 @@
 """N-gram Jaccard self-join with a prefix tree.
 
+0. Rows with equal texts are one unit, named by a 64-bit hash of the text; a task sends a text once.
 1. A text becomes the set of its word n-grams, as 64-bit hashes. The sets are shuffled once by
    n-gram, packed in arrays, which gives every n-gram its document frequency. N-grams of a single
-   document can be in no overlap, so only the others go back to their documents, with the size
+   text can be in no overlap, so only the others go back to their texts, with the size
    of the full set.
 2. All n-grams are ordered by (binary order of magnitude of the document frequency, hash). Two sets with a Jaccard similarity of
    at least t share an n-gram among the first |x| - ceil(t |x|) + 1 of each (its prefix). A
-   document whose prefix is made of its own n-grams only is done.
-3. A document goes to the group of each of its ``heads``, the prefix n-grams with the smallest
+   text whose prefix is made of its own n-grams only is done.
+3. A text goes to the group of each of its ``heads``, the prefix n-grams with the smallest
    hashes. A group puts its ordered sets into a trie and walks all of them down the trie at once:
    sets with a common start share the partial overlap of it, and a subtree is left as soon as
    what remains of either side can't lift the overlap to the bound.
 4. Pairs that meet in the prefix but have no common head come from the prefix n-grams directly,
    are counted, cut by the same bound, and verified on their sets. So the join is exact.
+5. ``near_classes`` never writes a group's pairs: a group gives each of its texts the number of its
+   links and the smallest text that it is connected to, and connected components join the groups.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockml.llm.toxicity import mix
-from blockml.session import materialise, shuffle_partitions
+from blockml.operators.cluster import components
+from blockml.session import fresh, materialise, shuffle_partitions
+
+BUCKET_BYTES = 64 << 20
 
 
 @functools.lru_cache
@@ -90,10 +96,12 @@ def _column(table, name: str, dtype) -> np.ndarray:
 
 
 def _send_grams(n: int, buckets: int):
-    """Rows (bucket, ids, counts, grams): a batch's n-grams by bucket of the hash."""
+    """Rows (bucket, ids, counts, grams): a batch's n-grams by bucket of the hash. A task sends each
+    text once, so a text that fills the table is sent once a task."""
 
     def run(batches):
         ids, sets, size = [], [], 0
+        seen: set[int] = set()
 
         def rows():
             lens = np.array([len(s) for s in sets])
@@ -110,6 +118,11 @@ def _send_grams(n: int, buckets: int):
 
         for b in batches:
             for key, text in zip(b[0].to_pylist(), b[1]):
+                if key in seen:
+                    continue
+                if len(seen) > 2_000_000:  # memory only
+                    seen.clear()
+                seen.add(key)
                 s = ngram_set(text.as_py(), n)
                 if len(s):
                     ids.append(key)
@@ -126,7 +139,18 @@ def _send_grams(n: int, buckets: int):
 
 _GRAMS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 _BACK = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("level", pa.binary())])
-_SETS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("grams", pa.binary()), ("order", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("heads", pa.list_(pa.int64())), ("grams", pa.binary()), ("order", pa.binary())])
+
+
+def _whole(function):
+    """``function`` of the table that a partition is, for mapInArrow."""
+
+    def run(batches):
+        held = list(batches)
+        if held:
+            yield from function(pa.Table.from_batches(held)).to_batches()
+
+    return run
 
 
 def _frequencies(parts: int):
@@ -157,8 +181,8 @@ def _frequencies(parts: int):
     return run
 
 
-def _collect_sets(threshold: float):
-    """One part of the documents: ordered shared n-grams, for documents that can have a partner."""
+def _collect_sets(threshold: float, heads: int):
+    """One part of the texts: ordered shared n-grams, for texts that can have a partner."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = _column(table, "ids", "<i8")
@@ -172,10 +196,11 @@ def _collect_sets(threshold: float):
         shared = np.bincount(owner, minlength=len(name))
         begin = np.cumsum(shared) - shared
         prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1 - (size - shared)
-        rows = [
-            {"id": int(name[i]), "size": int(size[i]), "prefix": int(min(prefix[i], shared[i])), "grams": grams[begin[i] : begin[i] + shared[i]].tobytes(), "order": level[begin[i] : begin[i] + shared[i]].tobytes()}
-            for i in np.flatnonzero((prefix > 0) & (shared >= np.ceil(threshold * size - 1e-9)))
-        ]
+        prefix = np.minimum(prefix, shared)
+        rows = []
+        for i in np.flatnonzero((prefix > 0) & (shared >= np.ceil(threshold * size - 1e-9))):
+            mine = grams[begin[i] : begin[i] + shared[i]]
+            rows.append({"id": int(name[i]), "size": int(size[i]), "prefix": int(prefix[i]), "heads": _heads(mine, prefix[i], heads).view(np.int64).tolist(), "grams": mine.tobytes(), "order": level[begin[i] : begin[i] + shared[i]].tobytes()})
         return pa.Table.from_pylist(rows, _SETS)
 
     return run
@@ -286,27 +311,10 @@ def _heads(grams: np.ndarray, prefix: int, heads: int) -> np.ndarray:
     return np.sort(mix(grams[:prefix]))[:heads]
 
 
-_MEMBERS = pa.schema([("head", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("heads", pa.binary()), ("grams", pa.binary()), ("order", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64())])
 PAIRS = "a long, b long, overlap long, size_a long, size_b long"
-
-
-def _to_heads(heads: int):
-    """Rows for the groups, one per document and head."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                own = _heads(np.frombuffer(r["grams"], "<u8"), r["prefix"], heads)
-                rows += [{"head": int(h), "id": r["id"], "size": r["size"], "heads": own.tobytes(), "grams": r["grams"], "order": r["order"]} for h in own.view(np.int64)]
-                if len(rows) > 500:
-                    yield pa.RecordBatch.from_pylist(rows, _MEMBERS)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _MEMBERS)
-
-    return run
+_STARS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+STARS = "id long, links long, root long"
 
 
 def _pairs(table_rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.Table:
@@ -316,25 +324,85 @@ def _pairs(table_rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.Tab
     return pa.table([pa.array(x, pa.int64()) for x in (ids[i], ids[j], o, sizes[i], sizes[j])], schema=_PAIRS)
 
 
-def _join_group(threshold: float):
-    """The pairs of one head's group whose smallest common head it is."""
+def _smallest_common(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that rows i and j of ``own`` have in common; the largest number if none."""
+    out = np.full(len(i), np.iinfo(np.uint64).max, np.uint64)
+    for p in range(own.shape[1]):
+        for q in range(own.shape[1]):
+            x = own[i, p]
+            np.minimum(out, x, out=out, where=x == own[j, q])
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        if len(table) < 2:
-            return _PAIRS.empty_table()
-        head = np.array(table["head"][0].as_py()).view(np.uint64)
-        ids, sizes = table["id"].to_numpy(), table["size"].to_numpy().astype(np.int64)
-        grams = [np.frombuffer(g.as_buffer(), "<u8") for g in table["grams"]]
+
+def _stars(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """Of pairs (i, j): for each in one, how many it is in and the smallest id that they connect it to."""
+    links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+    root = ids.copy()
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        if (new == root).all():
+            break
+        root = new
+    at = np.flatnonzero(links)
+    return pa.table([pa.array(x[at], pa.int64()) for x in (ids, links, root)], schema=_STARS)
+
+
+def _join_group(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes, and the pairs (i, j, overlap) of one head's group whose smallest common head it is."""
+    head = np.array(table["head"][0].as_py()).view(np.uint64)
+    ids, sizes = table["id"].to_numpy(), table["size"].to_numpy().astype(np.int64)
+    grams = [np.frombuffer(g.as_buffer(), "<u8") for g in table["grams"]]
+    if len(ids) == 2:  # a trie of two is their common start
+        o = len(np.intersect1d(*grams, assume_unique=True))
+        found = np.array([[0, 1, o]] if o and o >= needed(sizes[0], sizes[1], threshold) else np.zeros((0, 3)), np.int64)
+    else:
         every, level = np.concatenate(grams), _column(table, "order", "u1")
-        u, first = np.unique(every, return_index=True)
+        u, first, inverse = np.unique(every, return_index=True, return_inverse=True)
         number = np.empty(len(u), np.int64)
         number[np.lexsort((u, level[first]))] = np.arange(len(u))
-        lens = np.array(list(map(len, grams)))
-        sequences = np.split(number[np.searchsorted(u, every)], np.cumsum(lens)[:-1])
+        sequences = np.split(number[inverse], np.cumsum(list(map(len, grams)))[:-1])
         found = trie_join(sequences, sizes, len(u), threshold)
-        own = [set(np.frombuffer(h.as_buffer(), "<u8").tolist()) for h in table["heads"]]
-        good = np.array([min(own[i] & own[j]) == head for i, j in found[:, :2]], bool)
-        return _pairs(found[good], ids, sizes)
+    if len(found):
+        own = [h.as_py() for h in table["heads"]]
+        width = max(map(len, own))
+        own = np.array([h + h[:1] * (width - len(h)) for h in own], np.int64).view(np.uint64)
+        found = found[_smallest_common(own, found[:, 0], found[:, 1]) == head]
+    return ids, sizes, found
+
+
+def _join_groups(threshold: float, stars: bool):
+    """Over a partition that is sorted by head: a group at a time, so that no more than one is held."""
+
+    def groups(batches):
+        held, current = [], None
+        for b in batches:
+            heads = b.column("head").to_numpy()
+            cut = np.flatnonzero(heads[1:] != heads[:-1]) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(heads)]):
+                if lo == hi:
+                    continue
+                if heads[lo] != current:
+                    if sum(map(len, held)) > 1:
+                        yield pa.Table.from_batches(held)
+                    held, current = [], heads[lo]
+                held.append(b.slice(lo, hi - lo))
+        if sum(map(len, held)) > 1:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        out, rows = [], 0
+        for table in groups(batches):
+            ids, sizes, found = _join_group(table, threshold)
+            if len(found):
+                out.append(_stars(found[:, 0], found[:, 1], ids) if stars else _pairs(found, ids, sizes))
+                rows += len(out[-1])
+            if rows > 100_000:
+                yield from pa.concat_tables(out).combine_chunks().to_batches(100_000)
+                out, rows = [], 0
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches(100_000)
 
     return run
 
@@ -351,10 +419,7 @@ def _send_prefixes(heads: int, buckets: int):
             if not got:
                 continue
             pre = [np.frombuffer(r["grams"], "<u8")[: r["prefix"]] for r in got]
-            own = np.zeros((len(got), heads), np.uint64)
-            for k, p in enumerate(pre):
-                h = _heads(p, len(p), heads)
-                own[k] = np.concatenate([h, np.full(heads - len(h), h[0])])
+            own = np.array([r["heads"] + r["heads"][:1] * (heads - len(r["heads"])) for r in got], np.int64)
             ids, sizes = np.array([r["id"] for r in got]), np.array([r["size"] for r in got], "<u4")
             rest = np.array([len(r["grams"]) // 8 - r["prefix"] for r in got], "<u4")
             grams, owner = np.concatenate(pre), np.repeat(np.arange(len(got)), list(map(len, pre)))
@@ -373,19 +438,31 @@ def _send_prefixes(heads: int, buckets: int):
     return run
 
 
-def _meet(heads: int, threshold: float, chunk: int = 1 << 21):
+def _meet(heads: int, threshold: float, chunk: int = 1 << 21, large: int = 32):
     """Pairs of one bucket with a common prefix n-gram and no common head, with their count."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, sizes, rest = _column(table, "ids", "<i8"), _column(table, "sizes", "<u4").astype(np.int64), _column(table, "rest", "<u4").astype(np.int64)
         own = _column(table, "heads", "<u8").reshape(-1, heads)
         counts, grams = _column(table, "counts", "<u4").astype(np.int64), _column(table, "grams", "<u8")
-        owner = np.repeat(np.arange(len(ids)), counts)
+        # an id has a row for each batch of n-grams that it came in
+        ids, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        sizes, rest, own = sizes[first], rest[first], own[first]
+        owner = np.repeat(at, counts)
         order = np.lexsort((owner, grams))
         grams, owner = grams[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-        group_end = np.repeat(np.append(first[1:], len(grams)), np.diff(np.append(first, len(grams))))
-        partners = group_end - np.arange(len(grams)) - 1  # those after it in its group
+        length = np.diff(np.append(first, len(grams)))
+        # In a large group, those with the group's most common head have it in common: they are put last,
+        # and only the others look for partners among all after them.
+        idle = np.zeros(len(grams), bool)
+        for lo, n in zip(first[length > large], length[length > large]):
+            members = owner[lo : lo + n]
+            heads_there, many = np.unique(own[members], return_counts=True)
+            has = (own[members] == heads_there[many.argmax()]).any(axis=1)
+            owner[lo : lo + n] = np.concatenate([members[~has], members[has]])
+            idle[lo + n - has.sum() : lo + n] = True
+        partners = np.where(idle, 0, np.repeat(first + length, length) - np.arange(len(grams)) - 1)  # those after it in its group
         total = np.cumsum(partners)
         out = []
         lo = 0
@@ -401,12 +478,9 @@ def _meet(heads: int, threshold: float, chunk: int = 1 << 21):
                     apart &= own[i, p] != own[j, q]
             i, j = i[apart], j[apart]
             pair, n = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j), return_counts=True)
-            out.append(np.stack([pair // len(ids), pair % len(ids), n], 1))
+            out.append(np.stack([pair // max(1, len(ids)), pair % max(1, len(ids)), n], 1))
             lo = hi
-        got = np.concatenate([np.zeros((0, 3), np.int64), *out])
-        a, b, n = got.T
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        a, b, n = np.concatenate([np.zeros((0, 3), np.int64), *out]).T
         lack = needed(sizes[a], sizes[b], threshold) - np.maximum(rest[a], rest[b])
         return pa.table({"a": ids[a], "b": ids[b], "n": n, "lack": lack})
 
@@ -420,41 +494,49 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([t["a"], t["b"], pa.array(n, pa.int64()), t["size_a"], t["size_b"]], schema=_PAIRS)
 
 
-def shared_sets(docs: DataFrame, n: int, threshold: float, text: str, key: str) -> DataFrame:
-    """Per document that can have a partner: id, size of its set, prefix length, and its shared
-    n-grams in global order with the orders of magnitude of their document frequencies."""
-    parts = shuffle_partitions(docs.sparkSession)
-    named = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def _col(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _unit(text: str) -> Column:
+    """The name of a text."""
+    return F.xxhash64(_col(text))
+
+
+def _has_words(text: str) -> Column:
+    return F.coalesce(_col(text).rlike(r"[\p{L}\p{N}_]"), F.lit(False))
+
+
+def shared_sets(docs: DataFrame, n: int, threshold: float, heads: int, text: str, key: str) -> DataFrame:
+    """Per text that can have a partner: its name, the size of its set, prefix length, heads, and its
+    shared n-grams in global order with the orders of magnitude of their document frequencies."""
+    named = docs.where(_col(key).isNotNull() & _col(text).isNotNull()).select(_unit(text).alias("id"), _col(text).alias("text"))
+    # a character gives about a byte and a half of n-grams, so a bucket's size does not follow the input
+    volume = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), -(-volume * 3 // (2 * BUCKET_BYTES)))
     return (
         named.mapInArrow(_send_grams(n, parts), "bucket int, ids binary, counts binary, grams binary")
-        .groupBy("bucket")
-        .applyInArrow(_frequencies(parts), "part int, ids binary, sizes binary, counts binary, grams binary, level binary")
-        .groupBy("part")
-        .applyInArrow(_collect_sets(threshold), "id long, size int, prefix int, grams binary, order binary")
+        .repartitionById(parts, F.col("bucket"))
+        .mapInArrow(_whole(_frequencies(parts)), "part int, ids binary, sizes binary, counts binary, grams binary, level binary")
+        .repartitionById(parts, F.col("part"))
+        .mapInArrow(_whole(_collect_sets(threshold, heads)), "id long, size int, prefix int, heads array<bigint>, grams binary, order binary")
     )
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, heads: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All pairs of documents (doc_a < doc_b) whose sets of word ``n``-grams have a Jaccard
-    similarity of at least ``threshold``; columns doc_a, doc_b, overlap, jaccard (6 decimals).
-
-    Words are runs of letters, digits and underscores, in lower case. A text of fewer than ``n``
-    words has one gram, all its words; a text of none has an empty set, and like null texts is in
-    no pair. Rows with a null key are left out. Rows with the same key are one document, whose
-    set is the union of theirs, and are no pair. Equal texts are pairs of similarity 1. The whole
-    text counts. Extra columns are left out; an empty table gives no pairs.
-    """
-    spark = docs.sparkSession
-    sets = materialise(shared_sets(docs, n, threshold, text, key), "jaccard-sets")
+def _links(docs: DataFrame, n: int, threshold: float, heads: int, text: str, key: str, stars: bool) -> tuple[DataFrame, DataFrame]:
+    """What the groups of heads give, pairs or stars, and the pairs without a common head; of texts."""
+    sets = materialise(shared_sets(docs, n, threshold, heads, text, key), "jaccard-sets")
+    parts = shuffle_partitions(docs.sparkSession)
     near = (
-        sets.mapInArrow(_to_heads(heads), "head long, id long, size int, heads binary, grams binary, order binary")
-        .groupBy("head")
-        .applyInArrow(_join_group(threshold), PAIRS)
+        sets.select("id", "size", "heads", "grams", "order", F.explode("heads").alias("head"))
+        .repartition("head")
+        .sortWithinPartitions("head")
+        .mapInArrow(_join_groups(threshold, stars), STARS if stars else PAIRS)
     )
     met = (
-        sets.mapInArrow(_send_prefixes(heads, shuffle_partitions(spark)), "bucket int, ids binary, sizes binary, rest binary, heads binary, counts binary, grams binary")
-        .groupBy("bucket")
-        .applyInArrow(_meet(heads, threshold), "a long, b long, n long, lack long")
+        sets.mapInArrow(_send_prefixes(heads, parts), "bucket int, ids binary, sizes binary, rest binary, heads binary, counts binary, grams binary")
+        .repartitionById(parts, F.col("bucket"))
+        .mapInArrow(_whole(_meet(heads, threshold)), "a long, b long, n long, lack long")
         .groupBy("a", "b")
         .agg(F.sum("n").alias("n"), F.first("lack").alias("lack"))
         .where("n >= lack")
@@ -465,43 +547,76 @@ def jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, heads: int
         .join(side.toDF("b", "size_b", "grams_b"), "b")
         .select("a", "b", "size_a", "size_b", "grams_a", "grams_b")
         .mapInArrow(_verify, PAIRS)
+        .where(_similarity() >= threshold - 1e-9)
     )
-    similarity = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    return (
-        near.unionByName(far)
-        .where(similarity >= threshold - 1e-9)
-        .select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "overlap", F.round(similarity, 6).alias("jaccard"))
-    )
+    return near, far
+
+
+def _similarity() -> Column:
+    return F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
 
 
-def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
-    """(id, root): the smallest id of each connected component, for every id in a pair.
+def text_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(id, first, n): the rows of each text with a word, by its name: their smallest key and number."""
+    return docs.where(_col(key).isNotNull() & _has_words(text)).groupBy(_unit(text).alias("id")).agg(F.min(_col(key)).alias("first"), F.count("*").alias("n"))
 
-    Large-star and small-star rounds alternate until nothing changes; each round is written to
-    the shared folder, so lineage stays short.
+
+def jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.5, heads: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All pairs of different texts whose sets of word ``n``-grams have a Jaccard similarity of at
+    least ``threshold``; columns doc_a, doc_b (doc_a < doc_b), overlap, jaccard (6 decimals).
+
+    A text stands under the smallest key of the rows that have it; rows with equal texts (similarity
+    1) are no pairs here, ``text_classes`` says which they are. Words are runs of letters, digits and
+    underscores, in lower case. A text of fewer than ``n`` words has one gram, all its words; a text of
+    none has an empty set, and like null texts is in no pair. Rows with a null key are left out. Keys
+    are of any type that has an order and should be unique: of a key with several texts each counts for
+    itself, and if two of these are similar doc_a equals doc_b. Repeated rows count once. The whole
+    text counts. Extra columns are left out; an empty table gives no pairs. Texts are told apart by
+    64-bit hashes, as n-grams are.
     """
-    edges = materialise(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
-        large = (
-            both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        low = F.min("v").over(w)
-        small = large.withColumn("m", low)
-        step = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        new = materialise(step, "edges")
-        same = new.count() == edges.count() and new.exceptAll(edges).isEmpty()
-        edges = new
-        if same:
-            break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct()).distinct()
+    near, far = _links(docs, n, threshold, heads, text, key, stars=False)
+    first = text_classes(docs, text, key).select("id", "first")
+    pairs = near.where(_similarity() >= threshold - 1e-9).unionByName(far)
+    named = pairs.join(first.toDF("a", "first_a"), "a").join(first.toDF("b", "first_b"), "b")
+    return named.select(F.least("first_a", "first_b").alias("doc_a"), F.greatest("first_a", "first_b").alias("doc_b"), "overlap", F.round(_similarity(), 6).alias("jaccard"))
+
+
+def near_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, heads: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A row for each row of ``docs``: its key, ``class_id``, ``copies`` and ``links``.
+
+    ``links`` is the number of other texts that are similar to the row's, as in ``jaccard_join``, and
+    ``copies`` that of the other rows with the same text. ``class_id`` is the smallest key that links and
+    copies lead to, over any number of steps; its own where there are none. Rows whose text is null or
+    has no word are alone, with 0 and 0; those with a null key too, and their class is null. Repeated
+    rows are copies of each other; an empty table gives an empty one. Extra columns are left out.
+
+    Link numbers are exact, so the work in a group of near copies of n different texts is n squared
+    comparisons at most, but its result is n rows.
+    """
+    found = _classes(docs, text, key, n, threshold, heads)
+    return found.select(F.col("key").alias(key), "class_id", "copies", "links")
+
+
+def _classes(docs: DataFrame, text: str, key: str, n: int = 3, threshold: float = 0.5, heads: int = 4) -> DataFrame:
+    """(key, id, class_id, copies, links) of every row; id names the text."""
+    near, far = _links(docs, n, threshold, heads, text, key, stars=True)
+    both = far.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("links"), F.least("a", "b").alias("root"))
+    stars = materialise(near.unionByName(both), "jaccard-stars")
+    links = stars.groupBy("id").agg(F.sum("links").alias("links"))
+    found = components(stars.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    units = text_classes(docs, text, key).join(links, "id", "left").join(found, "id", "left").where("n > 1 OR links > 0")
+    units = units.withColumn("root", F.coalesce("root", "id"))
+    classes = units.groupBy("root").agg(F.min("first").alias("class"))
+    units = units.join(classes, "root").select("id", "class", (F.col("n") - 1).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = docs.select(_col(key).alias("key"), F.when(_col(key).isNotNull() & _has_words(text), _unit(text)).alias("id"))
+    zero = F.lit(0).cast("long")
+    return rows.join(units, "id", "left").select("key", "id", F.coalesce("class", "key").alias("class_id"), F.coalesce("copies", zero).alias("copies"), F.coalesce("links", zero).alias("links"))
 
 
 def keep_one_of_near(docs: DataFrame, text: str = "text", key: str = "doc_id", **parameters) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates (a connected component of
-    ``jaccard_join``): that with the smallest key. Rows that are in no pair, null keys and null
-    texts among them, stay; columns are unchanged."""
-    found = components(jaccard_join(docs, text=text, key=key, **parameters))
-    drop = found.where("id <> root").select(F.col("id").alias(key))
-    return docs.join(drop, key, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each class of near duplicates (``near_classes``): that with the
+    smallest key. Rows that are alone, null keys and null texts among them, stay; repeated rows of a
+    key that stays all stay; columns are unchanged, and an empty table stays empty."""
+    k, unit = fresh(docs.columns, "key", "unit")
+    drop = _classes(docs, text, key, **parameters).where("key <> class_id").select(F.col("key").alias(k), F.col("id").alias(unit)).distinct()
+    return docs.join(drop, (_col(key) == F.col(k)) & (_unit(text) == F.col(unit)), "left_anti")

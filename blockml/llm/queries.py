@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockml.llm import bpe, langid, nbsvm, quality_rules, toxicity
 from blockml.llm.exact_dedup import exact_dedup
-from blockml.llm.jaccard_join import jaccard_join
+from blockml.llm.jaccard_join import near_classes
 from blockml.llm.packing import pack
 from blockml.llm.sharding import minimax_shards
 from blockml.llm.warc import warc_round_trip
@@ -49,7 +49,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_documents(spark, sf_dir), n=3, threshold=0.5)
+    return near_classes(_documents(spark, sf_dir), n=3, threshold=0.5)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +103,22 @@ def _divergence(p: str, q: str) -> str:
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": """
-        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS l FROM documents),
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT text, min(doc_id) AS d, count(*) - 1 AS copies, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS l
+            FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}_]') GROUP BY text),
         g AS MATERIALIZED (
-            SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+            SELECT DISTINCT d, unnest(CASE WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
                 ELSE list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) END) AS g
-            FROM w WHERE len(l) > 0),
-        size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-        met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
-        SELECT a AS doc_a, b AS doc_b, met.n AS overlap, round(met.n / (s.n + t.n - met.n), 6) AS jaccard
-        FROM met JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE met.n / (s.n + t.n - met.n) >= 0.5""",
+            FROM w),
+        size AS MATERIALIZED (SELECT d, count(*) AS n FROM g GROUP BY d),
+        met AS (SELECT x.d AS a, y.d AS b, count(*) AS n FROM g x JOIN g y ON x.g = y.g AND x.d < y.d GROUP BY 1, 2),
+        pair AS MATERIALIZED (SELECT a, b FROM met JOIN size s ON s.d = a JOIN size t ON t.d = b WHERE met.n / (s.n + t.n - met.n) >= 0.5),
+        link AS MATERIALIZED (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+        walk AS (SELECT DISTINCT a AS d, a AS r FROM link UNION SELECT walk.d, link.b FROM walk JOIN link ON link.a = walk.r),
+        class AS (SELECT d, min(r) AS c FROM walk GROUP BY d),
+        degree AS (SELECT a AS d, count(*) AS k FROM link GROUP BY a)
+        SELECT doc_id, coalesce(c, w.d, doc_id) AS class_id, coalesce(copies, 0)::BIGINT AS copies, coalesce(k, 0)::BIGINT AS links
+        FROM documents LEFT JOIN w ON w.text = documents.text AND doc_id IS NOT NULL LEFT JOIN class ON class.d = w.d LEFT JOIN degree ON degree.d = w.d""",
     "op3_language_id": f"""
         WITH picked AS (
             SELECT * FROM (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blockml.llm import bpe, langid, nbsvm, quality_rules, toxicity, warc
 from blockml.llm.exact_dedup import exact_dedup
-from blockml.llm.jaccard_join import components, jaccard_join, keep_one_of_near
+from blockml.llm.jaccard_join import jaccard_join, keep_one_of_near, near_classes
 from blockml.llm.packing import best_fit_decreasing, pack, plan_best_fit
 from blockml.llm.sharding import brute_force, minimax_shards
 
@@ -52,11 +52,15 @@ def clashing(spark):
 
 
 def brute_jaccard(rows, n, threshold):
-    sets = defaultdict(set)
+    """Pairs (doc_a, doc_b, overlap) of different texts, each under its smallest key."""
+    first = {}
     for key, text in rows:
-        w = re.findall(r"\w+", (text or "").lower())
-        if key is not None and w:
-            sets[key] |= {tuple(w)} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+        if key is not None and re.search(r"\w", text or ""):
+            first[text] = min(key, first.get(text, key))
+    sets = {}
+    for text, key in first.items():
+        w = re.findall(r"\w+", text.lower())
+        sets[key] = {tuple(w)} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     keys = sorted(sets)
     out = set()
     for i, a in enumerate(keys):
@@ -67,6 +71,19 @@ def brute_jaccard(rows, n, threshold):
     return out
 
 
+def brute_classes(rows, n, threshold):
+    """(key, class_id, copies, links) of every row."""
+    pairs = brute_jaccard(rows, n, threshold)
+    there = lambda r: r[0] is not None and re.search(r"\w", r[1] or "")
+    first = {t: min(k for k, u in filter(there, rows) if u == t) for _, t in filter(there, rows)}
+    root = {k: k for k in first.values()}
+    for _ in root:
+        for a, b, _ in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    links = {k: sum(k in p[:2] for p in pairs) for k in root}
+    return sorted((r[0], root[first[r[1]]], sum(u[1] == r[1] for u in filter(there, rows)) - 1, links[first[r[1]]]) if there(r) else (r[0], r[0], 0, 0) for r in rows if r[0] is not None)
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
 def test_jaccard_join_equals_brute_force(spark, threshold):
     rng = random.Random(7)
@@ -76,25 +93,36 @@ def test_jaccard_join_equals_brute_force(spark, threshold):
         for _ in range(rng.randrange(0, 12)):
             w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
         rows.append((i, " ".join(w)))
-    rows += [(500 + i, "ab") for i in range(4)] + [(600, None), (None, "ab"), (601, ""), (500, "ab")]
-    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()
+    for i in range(70):  # one group of many near copies
+        w = base[0].split()
+        w[i % len(w)] = f"x{i}"
+        rows.append((300 + i, " ".join(w)))
+    rows += [(500 + i, "ab") for i in range(4)] + [(600, None), (None, "ab"), (601, ""), (500, "ab"), (602, "Ab, ab!"), (603, "ab ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join(df, threshold=threshold).collect()
     assert {(r["doc_a"], r["doc_b"], r["overlap"]) for r in got} == brute_jaccard(rows, 3, threshold) and len(got) == len({(r[0], r[1]) for r in got})
+    classes = near_classes(df, threshold=threshold).where("doc_id IS NOT NULL").collect()
+    assert sorted(map(tuple, classes)) == brute_classes(rows, 3, threshold)
+    # keys of another type, a name with a dot
+    named = spark.createDataFrame([(f"k{k:03}" if k is not None else None, t) for k, t in rows], "`doc.id` string, text string")
+    found = near_classes(named, threshold=threshold, key="doc.id").collect()
+    assert len(found) == len(rows) and sorted((int(r[0][1:]), int(r[1][1:]), r[2], r[3]) for r in found if r[0]) == brute_classes(rows, 3, threshold)
+    assert keep_one_of_near(named, threshold=threshold, key="doc.id").where("`doc.id` IS NOT NULL").distinct().count() == len({c[1] for c in brute_classes(rows, 3, threshold)})
 
 
 def test_jaccard_join_odd_input(spark, odd, empty, clashing):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert {(r["doc_a"], r["doc_b"], r["overlap"]) for r in jaccard_join(odd).collect()} == brute_jaccard(rows, 3, 0.5)
-    assert jaccard_join(empty).count() == 0
+    assert sorted(map(tuple, near_classes(odd).where("doc_id IS NOT NULL").collect())) == brute_classes(rows, 3, 0.5)
+    assert [tuple(r) for r in near_classes(odd).where("doc_id IS NULL").collect()] == [(None, None, 0, 0)] * 2
+    assert jaccard_join(empty).count() == 0 and near_classes(empty).count() == 0
     kept = keep_one_of_near(odd).collect()
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 0, 1, 1, 3, 4, 5, 6, 8, 9, 10]
-    assert sorted(r["doc_id"] for r in keep_one_of_near(clashing).collect()) == [0, 2, 3]
+    assert sorted(r["doc_id"] for r in keep_one_of_near(clashing).collect()) == [0, 2, 3] and keep_one_of_near(clashing).columns == clashing.columns
     assert keep_one_of_near(empty).count() == 0
-
-
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (9, 8), (3, 4), (20, 21), (21, 22), (22, 4)]
-    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 20: 1, 21: 1, 22: 1, 8: 8, 9: 8}
+    # of a key with two texts each counts for itself
+    twice = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (2, "a b c d"), (3, "x y z")], "doc_id long, text string")
+    assert sorted(map(tuple, keep_one_of_near(twice).collect())) == [(1, "a b c d"), (2, "x y z")]
 
 
 @pytest.fixture(scope="module")
