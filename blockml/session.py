@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -47,9 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/blockml-{label}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/blockml-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -87,6 +102,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def default_parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
-
-def cpu_count() -> int:
-    return os.cpu_count() or 1
