@@ -4,8 +4,8 @@ A text is split into words by the vocabulary's pattern, in the JVM. Every distin
 once: ``aggregate`` starts from the ids of the word's bytes and at each step merges the pair of
 neighbours with the lowest rank, looked up in a rank map that is part of the plan as literals.
 The most frequent words become a dictionary of checked size that is sent to the executors; the
-words outside it are folded where they stand, so the text never moves. Decoding looks up each
-id's bytes in a literal and concatenates them.
+words outside it are folded where they stand, once a row, so the text never moves. Decoding takes
+each id's bytes from a table and puts them one after the other, as binaries.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 ID_BITS = 17
 PRIME = (1 << 34) + 25  # above every pair's key
 _NONE = 1 << 40
+CHUNK = 1 << 18  # words whose ids are gathered at a time
 
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
@@ -111,9 +112,10 @@ class Vocabulary:
         # key and merged id in one number; -1 in an empty slot
         self.slots = [-1 if k < 0 else (k << ID_BITS) | value[k] for k in slots.tolist()]
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
-        self.hex = [""] * (max(self.ranks.values()) + 1)
+        pieces: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
-            self.hex[rank] = piece.hex()
+            pieces[rank] = piece
+        self.pieces = pa.array(pieces, pa.binary())
 
     def _literal(self, name: str) -> Column:
         """One Column for all uses, so that the plan holds one copy."""
@@ -127,16 +129,8 @@ class Vocabulary:
         found = F.get(self._literal("slots"), (key + 1) * m % PRIME % len(self.slots))
         return F.when(F.shiftright(found, ID_BITS) == key, found.bitwiseAND((1 << ID_BITS) - 1)).otherwise(F.lit(_NONE))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of a word (a string column) by a fold of ranked merges over its bytes."""
-        code = self._literal("bytes")
-        start = _let(
-            F.hex(word.cast("binary")),
-            lambda text: F.transform(
-                F.sequence(F.lit(0), F.octet_length(word) - 1),
-                lambda i: F.get(code, F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")),
-            ),
-        )
+    def fold(self, start: Column) -> Column:
+        """Ids of a word by a fold of ranked merges, from the ids of its bytes (array<bigint>)."""
 
         def rank(a: Column, b: Column) -> Column:
             return self._rank(F.shiftleft(a, ID_BITS).bitwiseOR(b))
@@ -163,7 +157,7 @@ class Vocabulary:
         ends = F.array(F.lit(_NONE))
         pairs = lambda ids: F.concat(ends, F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1))))
         state = _let(start, lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("pairs")))
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.octet_length(word))), state, step, lambda s: s["ids"]).cast("array<int>")
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(start))), state, step, lambda s: s["ids"]).cast("array<int>")
 
 
 def _let(value: Column, use) -> Column:
@@ -201,19 +195,44 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
-def _lookup(held, fold_bytes: int):
-    """Batches of word lists as segments: ids of known words, then one word to be folded."""
+def _byte_ids(words: pa.Array, code: np.ndarray) -> pa.ListArray:
+    """The ids of each word's bytes."""
+    words = pa.concat_arrays([words, pa.array([""], pa.string())])  # never without a buffer
+    upto = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+    return pa.ListArray.from_arrays(pa.array(upto - upto[0], pa.int32()), pa.array(code[data], pa.int64()))
+
+
+def _starts(code: np.ndarray):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["word"], _byte_ids(b["word"], code)], names=["word", "start"])
+
+    return run
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+
+
+def _lookup(held, fold_bytes: int, names: tuple[str, str] = ("ids", "unknown")):
+    """Batches of word lists as ``ids``, in which -1 - k stands for the row's k-th unknown word, and
+    ``unknown``, the ids of those words' bytes."""
 
     def run(batches):
-        dictionary, begin, width, ids, ranks, pairs = held.value
+        dictionary, begin, width, ids, ranks, pairs, code = held.value
         for b in batches:
             *others, lists = b.columns
-            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = _lengths(lists)
             coded = lists.flatten().dictionary_encode()
             unique = coded.dictionary
             at = pc.fill_null(pc.index_in(unique, value_set=dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             size = pc.binary_length(unique).to_numpy(zero_copy_only=False)
-            starts, widths, flat = np.where(at < 0, 0, begin[at] if len(begin) else 0), np.where(at < 0, 0, width[at] if len(width) else 0), [ids]
+            starts, widths, flat = np.where(at < 0, 0, begin[at] if len(begin) else 0), np.where(at < 0, 1, width[at] if len(width) else 0), [ids]
             total = len(ids)
             unknown = at < 0
             for k in np.flatnonzero(unknown & (size > fold_bytes)):  # a fold is quadratic in the word
@@ -221,27 +240,82 @@ def _lookup(held, fold_bytes: int):
                 starts[k], widths[k], unknown[k] = total, len(own), False
                 flat.append(own)
                 total += len(own)
-            flat = np.concatenate(flat)
             word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            w = widths[word]
-            known = flat[_ranges(starts[word], w)].astype(np.int32)
+            places = np.flatnonzero(unknown[word])
+            row = np.searchsorted(np.cumsum(counts), places, "right")
+            once, which = np.unique(row * max(1, len(unique)) + word[places], return_inverse=True)
+            own_row = once // max(1, len(unique))
+            number = np.arange(len(once)) - np.searchsorted(own_row, own_row)
+            flat = np.concatenate([*flat, -1 - number[which]]).astype(np.int32)
+            start, w = starts[word], widths[word]
+            start[places] = total + np.arange(len(places))
             upto = np.concatenate([[0], np.cumsum(w)])
-            fold_at = np.flatnonzero(unknown[word])
-            ends = np.cumsum(counts)
-            place = np.concatenate([fold_at * 2, ends * 2 - 1])
-            order = np.argsort(place, kind="stable")
-            known_end = np.concatenate([upto[fold_at], upto[ends]])[order]
-            segment_word = pa.concat_arrays([unique.take(pa.array(word[fold_at])), pa.nulls(len(ends), pa.string())]).take(pa.array(order))
-            segments = pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], known_end]), pa.int32()), pa.array(known)), segment_word], names=["known", "word"]
+            found = np.empty(upto[-1], np.int32)
+            for lo in range(0, len(word), CHUNK):
+                hi = min(lo + CHUNK, len(word))
+                found[upto[lo] : upto[hi]] = flat[_ranges(start[lo:hi], w[lo:hi])]
+            row_ends = pa.array(upto[np.concatenate([[0], np.cumsum(counts)])], pa.int32())
+            missing = lists.is_null()
+            own_words = _byte_ids(unique.take(pa.array(once % max(1, len(unique)))), code)
+            own_ends = pa.array(np.searchsorted(own_row, np.arange(len(counts) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*others, pa.ListArray.from_arrays(row_ends, pa.array(found), mask=missing), pa.ListArray.from_arrays(own_ends, own_words, mask=missing)], names=[*b.schema.names[:-1], *names]
             )
-            last = np.flatnonzero(order >= len(fold_at)) + 1
-            offsets = pa.array(np.concatenate([[0], last]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays(offsets, segments, mask=lists.is_null())], names=b.schema.names)
 
     return run
 
 
+def _filled(ids: pa.Array, folded: pa.Array) -> pa.Array:
+    """``ids`` with the ids of the row's k-th word of ``folded`` in the place of -1 - k."""
+    own_words = folded.flatten()
+    if not len(own_words):
+        return ids
+    flat, counts = ids.flatten().to_numpy(zero_copy_only=False), _lengths(ids)
+    own, lens = own_words.flatten().to_numpy(zero_copy_only=False), _lengths(own_words)
+    begin, many = np.cumsum(lens) - lens, _lengths(folded)
+    places = np.flatnonzero(flat < 0)
+    row = np.searchsorted(np.cumsum(counts), places, "right")
+    k = (np.cumsum(many) - many)[row] - 1 - flat[places]
+    out, upto, at = [], 0, 0
+    for lo in range(0, len(places), CHUNK):
+        hi = min(lo + CHUNK, len(places))
+        end = len(flat) if hi == len(places) else places[hi]
+        part = flat[upto:end]
+        w = np.ones(len(part), np.int64)
+        w[places[lo:hi] - upto] = lens[k[lo:hi]]
+        made = np.repeat(part, w)
+        first = np.cumsum(w)[places[lo:hi] - upto] - lens[k[lo:hi]]
+        made[_ranges(first, lens[k[lo:hi]])] = own[_ranges(begin[k[lo:hi]], lens[k[lo:hi]])]
+        out.append(made)
+        upto = end
+    grown = counts + np.bincount(row, lens[k] - 1, len(counts)).astype(np.int64)
+    return pa.ListArray.from_arrays(_offsets(grown), pa.array(np.concatenate(out), pa.int32()), mask=ids.is_null())
+
+
+def _fill(name: str):
+    def run(batches):
+        for b in batches:
+            *others, ids, folded = b.columns
+            yield pa.RecordBatch.from_arrays([*others, _filled(ids, folded)], names=[*b.schema.names[:-2], name])
+
+    return run
+
+
+def _joined(pieces: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The bytes of each row's ids, one after the other; null where an id is null or unknown."""
+    flat, counts = tokens.flatten(), _lengths(tokens)
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces)))
+    found = pieces.take(pc.if_else(pc.fill_null(known, False), flat, pa.scalar(None, flat.type)))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    lost = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])[ends]
+    null = (np.diff(lost) > 0) | tokens.is_null().to_numpy(zero_copy_only=False)
+    # the pieces lie one after the other already
+    found = pa.concat_arrays([found, pa.array([b""], pa.binary())])
+    upto = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found)][ends]
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(tokens), [valid, pa.py_buffer(upto.astype(np.int32).tobytes()), found.buffers()[2]])
+
+
 def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", max_words: int = 400_000, fold_bytes: int = 128) -> pa.Table:
     """(word, ids) of the most frequent words, ``max_words`` at most, of two or more occurrences.
 
@@ -249,7 +323,7 @@ def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", m
     bound decides about speed and not about results.
     """
     counts = materialise(
-        docs.where(F.col(text).isNotNull()).select(words(F.col(text)).alias("w")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
+        docs.where(F.col(f"`{text}`").isNotNull()).select(words(F.col(f"`{text}`")).alias("w")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
         "bpe-words",
     ).where((F.octet_length("word") <= fold_bytes) & (F.col("n") > 1))
     per = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
@@ -260,7 +334,8 @@ def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", m
             least = n + 1
             break
     frequent = counts.where(F.col("n") >= least).select("word").repartition(2 * default_parallelism(docs.sparkSession))
-    return frequent.select("word", vocabulary.fold(F.col("word")).alias("ids")).toArrow()
+    started = frequent.mapInArrow(_starts(np.array(vocabulary.bytes)), "word string, start array<bigint>")
+    return started.select("word", vocabulary.fold(F.col("start")).alias("ids")).toArrow()
 
 
 def encode(
@@ -286,24 +361,31 @@ def encode(
     width = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     known = pa.concat_arrays(table["word"].cast(pa.string()).chunks) if table.num_rows else pa.array([], pa.string())
     held = spark.sparkContext.broadcast(
-        (known, np.cumsum(width) - width, width, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), vocabulary.ranks, vocabulary.pairs)
+        (known, np.cumsum(width) - width, width, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), vocabulary.ranks, vocabulary.pairs, np.array(vocabulary.bytes))
     )  # max_words words
     columns = [c for c in docs.columns if c.lower() != name.lower()]
-    (segments,) = fresh(columns, "segments")
-    split = docs.select(*(F.col(f"`{c}`") for c in columns), words(F.col(text)).alias(segments))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.schema.fields[:-1])
-    found = split.mapInArrow(_lookup(held, fold_bytes), f"{kinds}{', ' if kinds else ''}`{segments}` array<struct<known: array<int>, word: string>>")
-    ids = F.flatten(F.transform(F.col(segments), lambda s: F.when(s["word"].isNull(), s["known"]).otherwise(F.concat(s["known"], vocabulary.fold(s["word"])))))
-    return found.select(*(F.col(f"`{c}`") for c in columns), ids.alias(name))
+    split, ids, unknown = fresh(columns, "split", "ids", "unknown")
+    said = docs.select(*(F.col(f"`{c}`") for c in columns), words(F.col(f"`{text}`")).alias(split))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in said.schema.fields[:-1])
+    found = said.mapInArrow(_lookup(held, fold_bytes, (ids, unknown)), f"{kinds}`{ids}` array<int>, `{unknown}` array<array<bigint>>")
+
+    folded = found.select(*(F.col(f"`{c}`") for c in [*columns, ids]), F.transform(F.col(unknown), vocabulary.fold).alias(unknown))
+    # not as a UDF: its extraction fails on arguments with nested lambdas
+    return folded.mapInArrow(_fill(name), f"{kinds}`{name}` array<int>")
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", name: str = "text") -> DataFrame:
     """``docs`` with the bytes of the ids in ``tokens``, one after the other, as a string.
 
     Null gives null, an empty array the empty string. A null id or one that the vocabulary lacks
-    makes the whole text null. A column called ``name`` is replaced; others pass unchanged.
+    makes the whole text null. Repeated rows get the same text; an empty table gives an empty one. A
+    column called ``name`` is replaced; others pass unchanged.
     """
-    # "?" is no hex digit, so unhex gives null
-    pieces = _literal([h or "?" for h in vocabulary.hex], "string")
-    text = F.unhex(F.array_join(F.transform(F.col(tokens), lambda t: F.get(pieces, t)), "", "?")).cast("string")
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces)
+
+    def join(tokens):
+        return _joined(held.value, tokens)
+
+    join.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
+    text = F.arrow_udf(join, "binary")(F.col(f"`{tokens}`")).cast("string")
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()), text.alias(name))
