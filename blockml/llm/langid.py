@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockml.session import col, fresh
+
 
 @functools.lru_cache
 def letters() -> np.ndarray:
@@ -53,12 +55,16 @@ def profile(texts: list[str], size: int) -> np.ndarray:
 
 def train(docs: DataFrame, size: int = 300, max_docs: int = 400, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, np.ndarray]:
     """A profile per language from at most ``max_docs`` labelled documents of each (those with
-    the smallest keys among documents of 200 or more characters)."""
+    the smallest keys among documents of 200 or more characters; of equal keys the shorter text).
+
+    Rows with a null text, language or key are left out; rows that repeat a picked key and its language
+    count too. An empty table, or one of short texts, gives no profile.
+    """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "n"))
     # no text in the window: keys are picked first
-    long = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.char_length(text).alias("n")).where("n >= 200 AND lang IS NOT NULL AND key IS NOT NULL")
+    long = docs.select(col(key).alias("key"), col(lang).alias("lang"), F.char_length(col(text)).alias("n")).where("n >= 200 AND lang IS NOT NULL AND key IS NOT NULL")
     picked = long.select("key", "lang", "n", rank.alias("k")).where(F.col("k") <= max_docs).select("key", "lang").distinct()
-    sample = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("length(text) >= 200")
+    sample = docs.select(col(key).alias("key"), col(lang).alias("lang"), col(text).alias("text")).where("length(text) >= 200")
     rows = sample.join(F.broadcast(picked), ["key", "lang"]).toArrow()  # max_docs keys a language
     out: dict[str, list[str]] = {}
     for name, t in zip(rows["lang"].to_pylist(), rows["text"].to_pylist()):
@@ -104,8 +110,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300,
             yield pd.DataFrame([rank(t) if t is not None else (None, None) for t in texts], columns=["lang", "far"]).astype({"far": "Int64"})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    found = F.pandas_udf(run, "lang string, far long")(F.col(text))
-    keep = [c for c in docs.columns if c.lower() not in ("predicted", "distance")]
-    return docs.select(*(F.col(f"`{c}`") for c in keep), found.alias("__found")).select(
-        *(F.col(f"`{c}`") for c in keep), F.col("__found.lang").alias("predicted"), F.col("__found.far").alias("distance")
-    )
+    found = F.pandas_udf(run, "lang string, far long")(col(text))
+    keep = [col(c) for c in docs.columns if c.lower() not in ("predicted", "distance")]
+    (name,) = fresh(docs.columns, "found")
+    return docs.select(*keep, found.alias(name)).select(*keep, F.col(f"{name}.lang").alias("predicted"), F.col(f"{name}.far").alias("distance"))
