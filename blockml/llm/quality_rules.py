@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockml.session import col, fresh, materialise
+
 WORD = re.compile(r"\w+")
 CLASSES = ("upper", "letter", "number", "space", "punctuation", "other")
 
@@ -50,25 +52,37 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
 
 def references(docs: DataFrame, top: int = 50, text: str = "text", lang: str = "lang") -> dict:
     """Per language, over all its documents: class counts, its ``top`` most common words (ties
-    in string order) with their counts, and the count of all other words."""
+    in string order) with their counts, and the count of all other words.
+
+    Rows with a null text or language are left out; an empty text counts for nothing. Repeated rows
+    count as often as they occur. An empty table, or one without languages, gives no references.
+    """
+
+    def rows(words, kinds):
+        found = [(n, True, w, c) for n in words for w, c in words[n].items()]
+        found += [(n, False, CLASSES[k], int(c)) for n in kinds for k, c in enumerate(kinds[n])]
+        for k in range(0, len(found), 200_000):
+            yield pa.RecordBatch.from_pydict(dict(zip(("lang", "word", "item", "n"), map(list, zip(*found[k : k + 200_000])))))
 
     def run(batches):
+        words, kinds = {}, {}
         for b in batches:
-            words, kinds = {}, {}
             for name, t in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
                 words.setdefault(name, Counter()).update(WORD.findall(t.lower()))
                 kinds[name] = kinds.get(name, 0) + class_counts(t)
-            rows = [(n, True, w, c) for n in words for w, c in words[n].items()]
-            rows += [(n, False, CLASSES[k], int(c)) for n in kinds for k, c in enumerate(kinds[n])]
-            for k in range(0, len(rows), 200_000):
-                names = ("lang", "word", "item", "n")
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[k : k + 200_000])))))
-
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = labelled.mapInArrow(run, "lang string, word boolean, item string, n long").groupBy("lang", "word", "item").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("lang", "word")
-    ranked = counts.select("*", F.row_number().over(w.orderBy(F.desc("n"), "item")).alias("k")).where((F.col("k") <= top) | ~F.col("word"))
-    total = counts.where("word").groupBy("lang").agg(F.sum("n").alias("n"))
+            if sum(map(len, words.values())) > 500_000:
+                yield from rows(words, kinds)
+                words, kinds = {}, {}
+        yield from rows(words, kinds)
+
+    labelled = docs.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(lang).alias("lang"), col(text).alias("text"))
+    counts = materialise(labelled.mapInArrow(run, "lang string, word boolean, item string, n long").groupBy("lang", "word", "item").agg(F.sum("n").alias("n")), "word-counts")
+    # words are ranked by themselves, so that each task keeps its own first ones before the shuffle
+    said = counts.where("word").select("lang", "item", "n")
+    k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+    common = said.select("lang", "item", "n", k.alias("k")).where(F.col("k") <= top).select("lang", F.lit(True).alias("word"), "item", "n")
+    ranked = common.unionByName(counts.where("NOT word"))
+    total = said.groupBy("lang").agg(F.sum("n").alias("n"))
     out: dict = {}
     for r in ranked.collect():  # top + 6 rows a language
         ref = out.setdefault(r["lang"], {"classes": np.zeros(len(CLASSES)), "words": {}, "rest": 0})
@@ -130,12 +144,9 @@ def judge(
             yield pd.DataFrame([of(t, n) for t, n in zip(texts, langs)], columns=["c", "w"], dtype="float64").astype("Float64")
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    found = F.pandas_udf(run, "c double, w double")(F.col(text), F.col(lang))
-    keep = [c for c in docs.columns if c.lower() not in ("class_distance", "word_distance", "kept")]
-    with_found = docs.select(*(F.col(f"`{c}`") for c in keep), found.alias("__found"))
-    return with_found.select(
-        *(F.col(f"`{c}`") for c in keep),
-        F.col("__found.c").alias("class_distance"),
-        F.col("__found.w").alias("word_distance"),
-        (F.coalesce(F.col("__found.c") <= max_class, F.lit(True)) & F.coalesce(F.col("__found.w") <= max_word, F.lit(True))).alias("kept"),
-    )
+    found = F.pandas_udf(run, "c double, w double")(col(text), col(lang))
+    keep = [col(c) for c in docs.columns if c.lower() not in ("class_distance", "word_distance", "kept")]
+    (name,) = fresh(docs.columns, "found")
+    c, w = F.col(f"{name}.c"), F.col(f"{name}.w")
+    passes = F.coalesce(c <= max_class, F.lit(True)) & F.coalesce(w <= max_word, F.lit(True))
+    return docs.select(*keep, found.alias(name)).select(*keep, c.alias("class_distance"), w.alias("word_distance"), passes.alias("kept"))
