@@ -25,6 +25,7 @@ from blockml.session import default_parallelism, shared_path
 
 ROW = "page_id long, url string, html string, sha1 string, n_bytes long, status string"
 CHUNK = 1 << 20
+MAGIC = b"\x1f\x8b\x08"
 
 
 def record(page_id: int | None, url: str | None, html: str | None, date: str) -> bytes:
@@ -71,21 +72,33 @@ def write_warc(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> list[str
 
 
 def members(stream) -> Iterator[bytes | None]:
-    """The content of each gzip member; None, as the last, where the file breaks off or is no gzip."""
-    unpack, held, begun = zlib.decompressobj(31), [], False
-    while chunk := stream.read(CHUNK):
+    """The content of each gzip member. None once for each stretch that can't be read; reading goes on at
+    the next gzip header after it."""
+    unpack, held, begun, lost = zlib.decompressobj(31), [], False, False
+    chunk = b""
+    while more := stream.read(CHUNK):
+        chunk += more
         while chunk:
-            begun = True
+            if lost and not begun:
+                at = chunk.find(MAGIC)
+                if at < 0:
+                    chunk = chunk[1 - len(MAGIC) :]  # may be a header's start
+                    break
+                chunk = chunk[at:]
             try:
                 held.append(unpack.decompress(chunk))
             except zlib.error:
-                yield None
-                return
+                if not lost:
+                    yield None
+                chunk = chunk if begun else chunk[1:]
+                unpack, held, begun, lost = zlib.decompressobj(31), [], False, True
+                continue
+            begun = True
             chunk = b""
             if unpack.eof:
                 yield b"".join(held)
-                chunk, unpack, held, begun = unpack.unused_data, zlib.decompressobj(31), [], False
-    if begun:
+                chunk, unpack, held, begun, lost = unpack.unused_data, zlib.decompressobj(31), [], False, False
+    if begun and not lost:
         yield None
 
 
@@ -109,19 +122,25 @@ def verify(block: bytes, given: str | None) -> str:
 def parse(member: bytes) -> dict | None:
     """A row for one record; None for records that are no resource or response."""
     head, found, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-    if not found or not lines[0].startswith("WARC/"):
+    try:
+        lines = head.decode().split("\r\n")
+        if not found or not lines[0].startswith("WARC/"):
+            return {"status": "bad_header"}
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if fields.get("warc-type") not in ("resource", "response"):
+            return None
+        size = fields.get("content-length", "")
+        if not (size.isascii() and size.isdigit()):
+            return {"status": "bad_header"}
+        name = fields.get("warc-record-id", "").strip("<>")
+        page_id = int(name[9:]) if name.startswith("urn:page:") else None
+        url = json.loads(fields["x-target-uri"]) if "x-target-uri" in fields else fields.get("warc-target-uri")
+    except ValueError:  # of the decoding, the number or the JSON
         return {"status": "bad_header"}
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    if fields.get("warc-type") not in ("resource", "response"):
-        return None
-    size = fields.get("content-length", "")
-    if not size.isdigit():
+    if not isinstance(url, str | None) or page_id is not None and not -(1 << 63) <= page_id < 1 << 63:
         return {"status": "bad_header"}
     block = rest[: int(size)]
-    name = fields.get("warc-record-id", "").strip("<>")
-    url = json.loads(fields["x-target-uri"]) if "x-target-uri" in fields else fields.get("warc-target-uri")
-    row = {"page_id": int(name[9:]) if name.startswith("urn:page:") else None, "url": url, "n_bytes": len(block)}
+    row = {"page_id": page_id, "url": url and url.encode("utf-8", "replace").decode(), "n_bytes": len(block)}
     if len(block) < int(size) or rest[int(size) :] != b"\r\n\r\n":
         return row | {"status": "bad_length"}
     row["status"] = verify(block, fields.get("warc-block-digest"))
@@ -136,10 +155,11 @@ def read_warc(spark: SparkSession, uris: list[str]) -> DataFrame:
     block), n_bytes, status.
 
     Status is ok, no_digest, unknown_digest (an algorithm that isn't known here), bad_digest,
-    bad_length (framing disagrees with Content-Length), bad_header, or corrupt (the file breaks off
-    or isn't gzip; nothing after that point is read). Only ok, no_digest and unknown_digest rows have
-    html. Nulls come back as nulls, empty blocks as "". Repeated
-    records give repeated rows; no files give an empty table.
+    bad_length (framing disagrees with Content-Length), bad_header (not UTF-8, no WARC line, no length,
+    or a page number or URL extension that can't be read), or corrupt (a stretch that breaks off or isn't
+    gzip; reading goes on at the next gzip header). Only ok, no_digest and unknown_digest rows have
+    html. Records named otherwise than by a page number have a null page_id. Nulls come back as nulls,
+    empty blocks as "". Repeated records give repeated rows; no files give an empty table.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("sha1", pa.string()), ("n_bytes", pa.int64()), ("status", pa.string())])
 
@@ -168,5 +188,6 @@ def read_warc(spark: SparkSession, uris: list[str]) -> DataFrame:
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """``pages`` through WARC files: what ``read_warc`` finds in what ``write_warc`` wrote.
-    Columns other than page_id, url and html are left out."""
+    Columns other than page_id, url and html are left out, so none can clash with ``sha1``, ``n_bytes``
+    and ``status``. Repeated rows come back as often; an empty table gives an empty one."""
     return read_warc(pages.sparkSession, write_warc(pages.withColumn("page_id", F.col("page_id").cast("long"))))
