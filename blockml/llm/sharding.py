@@ -1,68 +1,105 @@
 """Minimax contiguous sharding of ordered atomic groups.
 
 The smallest shard capacity for which greedy filling needs at most ``n_shards`` shards is found
-by binary search; the cuts are those of the greedy filling at that capacity. The driver holds
-one sum per block of consecutive groups and decides most capacities from these alone; only the
-blocks in which a cut may fall are read group by group.
+by binary search; the cuts are those of the greedy filling at that capacity. The driver holds sums
+over consecutive groups, at first those of ``coarse`` stretches at most, and decides most capacities
+from these alone. Only a stretch in which a cut may fall is read more finely: as blocks, and then
+group by group.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockml.session import fresh, materialise
+from blockml.session import col, fresh, materialise
+
+GROUP = 2  # the level of single groups; 0: stretches of blocks, 1: blocks
 
 
 def _number_blocks(block_rows: int):
+    """``block``: the partition's number and, below, that of the block within it."""
+
     def run(batches):
         part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
             n = b.num_rows
-            blk = (np.arange(seen, seen + n) // block_rows).astype(np.int32)
+            block = (part << 32) + np.arange(seen, seen + n, dtype=np.int64) // block_rows
             seen += n
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(blk)], names=["key", "size", "part", "blk"]
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block)], names=["key", "size", "block"])
 
     return run
 
 
-class _Plan:
-    """Block sums, and the sizes of the blocks read so far."""
+def _within(name: str, wanted: list[int]) -> Column:
+    """``name`` is one of ``wanted``, as ranges, which Parquet statistics can prune by."""
+    runs = np.split(np.array(wanted), np.flatnonzero(np.diff(wanted) > 1) + 1)
+    terms = [F.col(name).between(int(r[0]), int(r[-1])) for r in runs]
+    while len(terms) > 1:  # a flat tree
+        terms = [functools.reduce(operator.or_, terms[k : k + 2]) for k in range(0, len(terms), 2)]
+    return terms[0]
+
 
-    def __init__(self, sums: np.ndarray, fetch):
-        self.ends = np.cumsum(sums)
-        self.starts = self.ends - sums
-        self.fetch, self.inner = fetch, {}
+class _Plan:
+    """Consecutive segments of groups with their sums; ``fetch(level, names)`` gives the parts of
+    segments, by name: sizes and names."""
+
+    def __init__(self, sums: np.ndarray, names: np.ndarray, fetch):
+        self.sums, self.names, self.fetch = sums, names.astype(object), fetch
+        self.level = np.zeros(len(sums), np.int8)
+        self._total()
+
+    def _total(self):
+        self.ends = np.cumsum(self.sums)
+        self.starts = self.ends - self.sums
+
+    def refine(self, want) -> None:
+        """Puts their parts in the place of the segments ``want``."""
+        want = sorted(set(want))
+        parts: dict = {}
+        for level in (0, 1):
+            if names := [self.names[b] for b in want if self.level[b] == level]:
+                parts |= {(level, n): got for n, got in self.fetch(level, names).items()}
+        pieces: list = [([], [], [])]
+        last = 0
+        for b in want:
+            level = self.level[b]
+            sums, names = parts[level, self.names[b]]
+            pieces += [(self.sums[last:b], self.names[last:b], self.level[last:b]), (sums, names, np.full(len(sums), level + 1, np.int8))]
+            last = b + 1
+        pieces.append((self.sums[last:], self.names[last:], self.level[last:]))
+        self.sums, self.names, self.level = np.concatenate([p[0] for p in pieces]).astype(np.int64), np.concatenate([np.asarray(p[1], object) for p in pieces]), np.concatenate([p[2] for p in pieces]).astype(np.int8)
+        self._total()
+
+    def at(self, position: int) -> int:
+        """The first segment that ends beyond a prefix sum."""
+        return int(np.searchsorted(self.ends, position, "right"))
 
     def cuts(self, capacity: int, way: str, limit: int):
-        """Greedy cuts as (block, position in block, prefix sum); unread blocks are taken whole
-        for nothing ("low") or not at all ("high"). Stops beyond ``limit`` shards."""
-        at, out, unread = 0, [], []
+        """Greedy cuts as prefix sums, and the segments of several groups in which one fell; these are
+        taken whole for nothing ("low") or not at all ("high"). Stops beyond ``limit`` shards."""
+        place, out, open_ = 0, [], []
         total = int(self.ends[-1])
-        while at < total and len(out) <= limit:
-            target = at + capacity
-            b = int(np.searchsorted(self.ends, target, "right"))
+        while place < total and len(out) <= limit:
+            b = self.at(place + capacity)
             if b == len(self.ends):
-                out.append((b, 0, total))
+                out.append(total)
                 break
-            if b in self.inner:
-                ends = self.inner[b]
-                k = int(np.searchsorted(ends, target - self.starts[b], "right"))
-                to = int(self.starts[b] + (ends[k - 1] if k else 0))
-                out.append((b, k, to))
-            else:
-                unread.append(b)
-                to = int(self.ends[b] if way == "low" else self.starts[b])
-                out.append((b + 1, 0, to) if way == "low" else (b, 0, to))
-            if to <= at:
-                return None, unread
-            at = to
-        return out, unread
+            to = int(self.starts[b])
+            if self.level[b] != GROUP:
+                open_.append(b)
+                to = int(self.ends[b]) if way == "low" else to
+            if to <= place:
+                return None, open_
+            out.append(to)
+            place = to
+        return out, open_
 
     def feasible(self, capacity: int, k: int) -> bool:
         while True:
@@ -77,16 +114,21 @@ class _Plan:
             want = {*need, *more}
             for i, cut in enumerate(low or []):
                 if high and i < len(high):
-                    want.update(range(high[i][0], cut[0] + 1))
-            want = [b for b in sorted(want) if b < len(self.ends) and b not in self.inner]
-            self.inner.update(self.fetch(want))
+                    want.update(range(self.at(high[i]), self.at(cut) + 1))
+            self.refine(b for b in want if b < len(self.ends) and self.level[b] != GROUP)
 
-    def exact(self, capacity: int, k: int):
+    def exact(self, capacity: int, k: int) -> list[int]:
         while True:
             found, need = self.cuts(capacity, "low", k)
             if not need:
                 return found
-            self.inner.update(self.fetch(sorted(set(need))))
+            self.refine(need)
+
+    def first_group(self, position: int):
+        """The name of the group that begins a shard there."""
+        while self.level[b := self.at(position)] != GROUP:
+            self.refine([b])
+        return self.names[b]
 
 
 def _tree(key: Column, cuts: list, low: int, high: int) -> Column:
@@ -103,67 +145,54 @@ def minimax_shards(
     key: str = "doc_id",
     size: Column | None = None,
     block_rows: int = 1024,
+    coarse: int = 32_768,
 ) -> DataFrame:
     """``docs`` with a column ``shard`` (0, 1, ...): contiguous in ``key`` order, no group of
     equal ``key`` divided, the largest shard as small as possible.
 
-    ``size`` is a row's weight, by default the text's UTF-8 bytes; null counts as 0. Null keys
+    ``size`` is a row's weight, by default the text's UTF-8 bytes; null and negative ones count as 0. Null keys
     form one group, which comes first. Repeated rows belong to their key's group, so they weigh
     twice and stay together. Fewer groups than shards leave the last shards unused; a group
     larger than all others sets the capacity. An empty table gives an empty table. A column
     named ``shard`` is replaced.
     """
-    spark = docs.sparkSession
-    weight = F.coalesce(F.octet_length(F.col("text")) if size is None else size, F.lit(0)).cast("long")
-    groups = docs.select(F.col(key).alias("key"), weight.alias("size")).groupBy("key").agg(F.sum("size").alias("size"))
+    if n_shards < 1:
+        raise ValueError("n_shards must be at least 1")
+    weight = F.greatest(F.coalesce(F.octet_length(F.col("text")) if size is None else size, F.lit(0)), F.lit(0)).cast("long")
+    groups = materialise(docs.select(col(key).alias("key"), weight.alias("size")).groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
     kind = groups.schema["key"].dataType.simpleString()
-    numbered = materialise(
-        groups.repartitionByRange(F.col("key").asc_nulls_first())
-        .sortWithinPartitions(F.col("key").asc_nulls_first())
-        .mapInArrow(_number_blocks(block_rows), f"key {kind}, size long, part int, blk int"),
-        "shard-groups",
-    )
-    blocks = numbered.groupBy("part", "blk").agg(F.sum("size").alias("s"), F.max("size").alias("m")).orderBy("part", "blk").toArrow()
-    if blocks.num_rows == 0 or n_shards < 1:
-        if n_shards < 1:
-            raise ValueError("n_shards must be at least 1")
-        return docs.withColumn("shard", F.lit(0))
-    ids = list(zip(blocks["part"].to_pylist(), blocks["blk"].to_pylist()))
-    number = {pair: i for i, pair in enumerate(ids)}
-    keys: dict[int, list] = {}
-
-    def fetch(want: list[int]) -> dict[int, np.ndarray]:
-        if not want:
-            return {}
-        pick = spark.createDataFrame([ids[b] for b in want], "part int, blk int")
-        got = numbered.join(F.broadcast(pick), ["part", "blk"]).orderBy("part", "blk", F.col("key").asc_nulls_first()).toArrow()
-        where = np.array([number[p] for p in zip(got["part"].to_pylist(), got["blk"].to_pylist())])
-        sizes, names = got["size"].to_numpy(), got["key"].to_pylist()
-        out = {}
-        for b in want:
-            i, j = np.searchsorted(where, [b, b + 1])
-            out[b], keys[b] = np.cumsum(sizes[i:j]), names[i:j]
-        return out
-
-    plan = _Plan(blocks["s"].to_numpy().astype(np.int64), fetch)
+    order = F.col("key").asc_nulls_first()
+    numbered = materialise(groups.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(_number_blocks(block_rows), f"key {kind}, size long, block long"), "shard-numbered")
+    blocks = materialise(numbered.groupBy("block").agg(F.sum("size").alias("s"), F.max("size").alias("m")), "shard-blocks")
+    whole = blocks.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
+    if not whole["n"]:
+        return docs.drop("shard").withColumn("shard", F.lit(0))
+    per = -(-whole["n"] // coarse)
+    low_half = (1 << 32) - 1
+    stretch = F.col("block") - F.col("block").bitwiseAND(low_half) + F.floor(F.col("block").bitwiseAND(low_half) / per)
+    blocks = blocks.withColumn("stretch", stretch)
+    top = blocks.groupBy("stretch").agg(F.sum("s").alias("s")).orderBy("stretch").toArrow()  # coarse rows, and one a partition at most
+
+    def fetch(level: int, wanted: list) -> dict:
+        if level:
+            got = numbered.where(_within("block", wanted)).orderBy("block", order).select("block", "size", "key").toArrow()
+        else:
+            got = blocks.where(_within("stretch", wanted)).orderBy("stretch", "block").select("stretch", "s", "block").toArrow()
+        at, sums, names = got.column(0).to_numpy(), got.column(1).to_numpy(), np.array([*got.column(2).to_pylist(), None], object)[:-1]
+        cut = [np.searchsorted(at, [w, w + 1]) for w in wanted]
+        return {w: (sums[i:j], names[i:j]) for w, (i, j) in zip(wanted, cut)}
+
+    plan = _Plan(top["s"].to_numpy().astype(np.int64), top["stretch"].to_numpy(), fetch)
     total = int(plan.ends[-1])
-    low = max(max(blocks["m"].to_pylist()), -(-total // n_shards))
+    low = max(whole["m"], -(-total // n_shards))
     high = min(total, -(-total // n_shards) + low)
     while low < high:
         mid = (low + high) // 2
         low, high = (low, mid) if plan.feasible(mid, n_shards) else (mid + 1, high)
     cuts = plan.exact(low, n_shards)[:-1] if total else []
-    # a cut at the end of a block starts the next shard at the next block's first group
-    plan.inner.update(fetch([b for b in {c[0] for c in cuts} if b not in keys]))
-    first = []
-    for b, k, _ in cuts:
-        while k >= len(keys[b]):
-            b, k = b + 1, 0
-            if b not in keys:
-                plan.inner.update(fetch([b]))
-        first.append(keys[b][k])
+    first = [plan.first_group(c) for c in cuts]
     (name,) = fresh(docs.columns, "shard")
-    shard = F.when(F.col(key).isNull(), 0).otherwise(_tree(F.col(key), first, 0, len(first)))
+    shard = F.when(col(key).isNull(), 0).otherwise(_tree(col(key), first, 0, len(first)))
     return docs.withColumn(name, shard.cast("int")).drop("shard").withColumnRenamed(name, "shard")
 
 
