@@ -44,6 +44,11 @@ OPERATIONS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with one evaluation of ``value``, also where ``use`` has lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def vector(values) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
