@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from blockml.functions.numeric import let
+
 WORD = r"[\p{L}\p{N}_]{2,}"  # \b\w\w+\b over Unicode
 
 
@@ -14,21 +18,45 @@ def word_tokens(text: Column, pattern: str = WORD, lowercase: bool = True, stop_
 
 
 def ngrams(tokens: Column, low: int, high: int, joiner: str = " ") -> Column:
-    """All runs of low to high tokens, shorter ones first."""
+    """All runs of low to high tokens, shorter ones first. Null tokens give null."""
+    if low == high == 1:
+        return tokens
 
-    def of(n: int) -> Column:
+    def of(found: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), joiner))
-        return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+            return found
+        runs = F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i: F.array_join(F.slice(found, i, F.lit(n)), joiner))
+        return F.when(F.size(found) >= n, runs).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(of(n) for n in range(low, high + 1)))
+    # the tokens are found once, and not once an n-gram
+    return let(tokens, lambda found: F.concat(*(of(found, n) for n in range(low, high + 1))))
 
 
 def characters(text: Column) -> Column:
     return F.split(text, "")
 
 
+def without_accents(text: Column, kind: str = "unicode") -> Column:
+    """Letters without their marks: ``unicode`` keeps all other characters, ``ascii`` drops those
+    beyond ASCII too."""
+    plain = F.translate(text, *_ACCENTS)
+    plain = F.regexp_replace(plain, r"\p{M}+", "")
+    return F.regexp_replace(plain, r"[^\x00-\x7F]+", "") if kind == "ascii" else plain
+
+
+def _accents() -> tuple[str, str]:
+    """Precomposed characters, and the single ones that they are without marks."""
+    pairs = []
+    for c in range(0xC0, 0x2000):
+        base = [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]
+        if len(base) == 1 and base[0] != chr(c):
+            pairs.append((chr(c), base[0]))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+_ACCENTS = _accents()
+
+
 def char_ngrams(text: Column, low: int, high: int, lowercase: bool = True) -> Column:
     """Character n-grams, runs of white space being one space."""
     plain = F.regexp_replace(F.lower(text) if lowercase else text, r"\s\s+", " ")

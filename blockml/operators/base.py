@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockml.session import fresh
+from blockml.operators.local import LocalModel
+from blockml.session import fresh, materialise
+
+MOST_RUNS = 10_000
 
 
 class Estimator:
@@ -31,21 +34,20 @@ class Estimator:
     def clone(self):
         return type(self)(**self.get_params(deep=False))
 
-    def to_local(self) -> dict:
-        """A copy of all that was learnt, as numpy arrays and plain values; tables are collected."""
+    def to_local(self) -> LocalModel:
+        """A copy of all that was learnt, as numpy arrays and plain values, that predicts or transforms
+        local arrays; tables are collected."""
         out = {}
         for k, v in vars(self).items():
             if k.endswith("_") and not k.startswith("_"):
                 if isinstance(v, DataFrame):
                     v = v.toPandas().to_dict("list")
                 out[k] = v.copy() if isinstance(v, np.ndarray) else v
-        return out
+        return LocalModel(type(self).__name__, self.get_params(deep=False), out)
 
     def save(self, path: str) -> None:
-        """Parameters and what was learnt, as JSON."""
-        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v.item() if isinstance(v, np.generic) else str(v)
-        with open(path, "w") as f:
-            json.dump({"class": type(self).__name__, "params": self.get_params(deep=False), "learnt": self.to_local()}, f, default=plain)
+        """Parameters and what was learnt, as JSON; ``local.load`` reads it."""
+        self.to_local().save(path)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
@@ -68,19 +70,35 @@ def accuracy(df: DataFrame, truth: str = "y", prediction: str = "prediction", we
 def positions(df: DataFrame, key: str, name: str = "pos", span: int = 1_000_000) -> DataFrame:
     """``df`` with the rank from 0 of its unique integer key.
 
-    Ranks are counted within runs of ``span`` keys, after the count of all earlier runs; no task
-    sees more than one run.
+    Where keys lie close together, ranks are counted within runs of ``span`` keys, after the count of all
+    earlier runs. Else rows are sorted by range, written, and numbered by their place in the range, after
+    the rows of earlier ranges. No task sees more than one run or range.
     """
-    return _ordered(df, key, F.floor(F.col(key) / span), name)
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    if ends["a"] is None or (ends["b"] - ends["a"]) // span < MOST_RUNS:
+        return _in_runs(df, key, F.floor(F.col(key) / span), name)
+    return _in_ranges(df, key, name)
 
 
 def term_ids(df: DataFrame, term: str, name: str = "feature") -> DataFrame:
-    """``df`` with the rank from 0 of its unique string column. Runs are the strings with the same
-    first two characters, which keeps the order."""
-    return _ordered(df, term, F.substring(F.col(term), 1, 2), name)
+    """``df`` with the rank from 0 of its unique string column. It is written, so that what it was made
+    of is not computed at each use."""
+    return _in_ranges(df, term, name)
+
+
+def _in_ranges(df: DataFrame, key: str, name: str) -> DataFrame:
+    (place,) = fresh(df.columns, "place")
+    placed = materialise(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn(place, F.monotonically_increasing_id()), "positions")
+    part = F.shiftright(place, 33).cast("int")
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a range
+    earlier = np.zeros(max(counts, default=0) + 1, np.int64)
+    for p, n in counts.items():
+        earlier[p + 1 :] += n
+    starts = F.from_json(F.lit(json.dumps(earlier.tolist())), "array<bigint>")
+    return placed.withColumn(name, F.get(starts, part) + F.col(place).bitwiseAND((1 << 33) - 1)).drop(place)
 
 
-def _ordered(df: DataFrame, key: str, run: Column, name: str) -> DataFrame:
+def _in_runs(df: DataFrame, key: str, run: Column, name: str) -> DataFrame:
     r, earlier, k = fresh(df.columns, "run", "earlier", "k")
     runs = df.select(run.alias(r)).groupBy(r).agg(F.count("*").alias(k))
     before = runs.select(r, F.coalesce(F.sum(k).over(Window.orderBy(r).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(earlier))

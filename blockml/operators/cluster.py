@@ -16,13 +16,15 @@ def squared_distance(x: Column, values) -> Column:
 
 
 class KMeans(Estimator):
-    """Lloyd's algorithm. ``init`` is k-means|| or an array of centres; a point of equal distances
+    """Lloyd's algorithm. ``init`` is k-means||, random (``n_init`` runs) or an array of centres; a point of equal distances
     goes to the first centre, and a centre without points stays."""
 
-    def __init__(self, n_clusters: int = 8, init="k-means||", max_iter: int = 300, tol: float = 1e-4, seed: int = 0, x: str = "X"):
-        self.n_clusters, self.init, self.max_iter, self.tol, self.seed, self.x = n_clusters, init, max_iter, tol, seed, x
+    def __init__(self, n_clusters: int = 8, init="k-means||", max_iter: int = 300, tol: float = 1e-4, seed: int = 0, n_init: int = 1, x: str = "X"):
+        self.n_clusters, self.init, self.max_iter, self.tol, self.seed, self.n_init, self.x = n_clusters, init, max_iter, tol, seed, n_init, x
 
     def fit(self, df: DataFrame) -> KMeans:
+        if self.init == "random" if isinstance(self.init, str) else False:
+            return self._best_of_random(df)
         if isinstance(self.init, str):
             if self.init != "k-means||":
                 raise ValueError(f"no init {self.init}")
@@ -34,7 +36,29 @@ class KMeans(Estimator):
             self.cluster_centers_ = np.array(model.clusterCenters())
             self.n_iter_ = model.summary.numIter
             return self
-        centres = np.asarray(self.init, float)
+        return self._lloyd(df, np.asarray(self.init, float))
+
+    def _best_of_random(self, df: DataFrame) -> KMeans:
+        """``n_init`` runs from random rows; the one with the least inertia stays."""
+        best = None
+        rows = df.select(F.col(self.x)).where(F.col(self.x).isNotNull())
+        for k in range(self.n_init):
+            picked = rows.orderBy(F.xxhash64(F.col(self.x).cast("string"), F.lit(self.seed + k))).limit(self.n_clusters).collect()
+            if len(picked) < self.n_clusters:
+                raise ValueError(f"{len(picked)} rows for {self.n_clusters} clusters")
+            self._lloyd(df, np.array([r[0] for r in picked], float))
+            cost = self.inertia(df)
+            if best is None or cost < best[0]:
+                best = cost, self.cluster_centers_, self.n_iter_
+        _, self.cluster_centers_, self.n_iter_ = best
+        return self
+
+    def inertia(self, df: DataFrame) -> float:
+        """Sum of squared distances to the nearest centre."""
+        far = F.array_min(F.array(*(squared_distance(F.col(self.x), c) for c in self.cluster_centers_)))
+        return df.agg(F.sum(far)).first()[0] or 0.0
+
+    def _lloyd(self, df: DataFrame, centres: np.ndarray) -> KMeans:
         d = width_of(df, self.x)
         cells = [F.avg(F.get(F.col(self.x), F.lit(i))) for i in range(d)]
         self.n_iter_ = 0
@@ -89,10 +113,43 @@ def dbscan(df: DataFrame, eps: float, min_points: int, key: str = "row_id", x: s
     goes to the cluster with the smallest name in reach. Points meet in cells of side ``eps``, so
     only those of neighbouring cells are compared; for a few dimensions.
     """
-    d = width_of(df, x)
-    points = df.select(F.col(key).alias("id"), F.col(x).cast("array<double>").alias("p"))
+    return _dbscan(df, eps, min_points, key, x)[0]
+
+
+class DBSCAN(Estimator):
+    """``fit`` learns ``labels_`` (key, cluster), as ``dbscan``, and the core points; ``predict`` gives new
+    points the smallest cluster that has a core point within ``eps``, or null."""
+
+    def __init__(self, eps: float, min_points: int, key: str = "row_id", x: str = "X"):
+        self.eps, self.min_points, self.key, self.x = eps, min_points, key, x
+
+    def fit(self, df: DataFrame) -> DBSCAN:
+        self.labels_, core = _dbscan(df, self.eps, self.min_points, self.key, self.x)
+        points = df.select(F.col(self.key).alias("id"), F.col(self.x).cast("array<double>").alias("p"))
+        self._core, self._width = materialise(core.join(points, "id"), "dbscan-core"), width_of(df, self.x)
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``cluster``."""
+        home, reach = _cells(df.select(F.col(self.key).alias("id"), F.col(self.x).cast("array<double>").alias("p")), self._width, self.eps)
+        core, _ = _cells(self._core, self._width, self.eps, "cluster")
+        near = core.select(F.col("p").alias("p1"), "cluster", "cell").join(reach, "cell").where(_squared("p1", "p2") <= self.eps**2)
+        found = near.groupBy(F.col("id2").alias(self.key)).agg(F.min("cluster").alias("cluster"))
+        return df.join(found, self.key, "left")
+
+    def predict_point(self, point) -> int | None:
+        """The cluster of one local point."""
+        return self._core.where(_squared("p", vector(point)) <= self.eps**2).agg(F.min("cluster")).first()[0]
+
+
+def _squared(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
+
+
+def _cells(points: DataFrame, d: int, eps: float, *extra: str) -> tuple[DataFrame, DataFrame]:
+    """(id, p, cell, ...), and (id2, p2, cell) with a row for each cell around the point's."""
     cell = F.array(*(F.floor(F.get("p", F.lit(i)) / eps) for i in range(d)))
-    home = points.withColumn("cell", cell)
+    home = points.select("id", "p", *extra, cell.alias("cell"))
     around = F.array(F.array().cast("array<bigint>"))
 
     def beside(c: Column, i: int) -> Column:
@@ -103,12 +160,17 @@ def dbscan(df: DataFrame, eps: float, min_points: int, key: str = "row_id", x: s
 
     for i in range(d):
         around = extended(around, i)
-    reach = home.select(F.col("id").alias("id2"), F.col("p").alias("p2"), F.explode(around).alias("cell"))
-    far = F.aggregate(F.zip_with("p", "p2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    pairs = materialise(home.join(reach, "cell").where(far <= eps * eps).select("id", "id2"), "dbscan-pairs")
+    return home, home.select(F.col("id").alias("id2"), F.col("p").alias("p2"), F.explode(around).alias("cell"))
+
+
+def _dbscan(df: DataFrame, eps: float, min_points: int, key: str, x: str) -> tuple[DataFrame, DataFrame]:
+    """(key, cluster) of all rows, and (id, cluster) of the core points."""
+    points = df.select(F.col(key).alias("id"), F.col(x).cast("array<double>").alias("p"))
+    home, reach = _cells(points, width_of(df, x), eps)
+    pairs = materialise(home.join(reach, "cell").where(_squared("p", "p2") <= eps * eps).select("id", "id2"), "dbscan-pairs")
     core = pairs.groupBy("id").count().where(F.col("count") >= min_points).select("id")
     links = pairs.join(core, "id").join(core.withColumnRenamed("id", "id2"), "id2")
     named = core.join(components(links.select(F.col("id").alias("u"), F.col("id2").alias("v"))), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
     reached = pairs.join(named.withColumnRenamed("id", "id2"), "id2").groupBy("id").agg(F.min("cluster").alias("near"))
     out = points.select("id").join(named, "id", "left").join(reached, "id", "left")
-    return out.select(F.col("id").alias(key), F.coalesce("cluster", "near").alias("cluster"))
+    return out.select(F.col("id").alias(key), F.coalesce("cluster", "near").alias("cluster")), named

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -93,15 +94,25 @@ class FeatureUnion(_Composite):
 
     def fit(self, df: DataFrame) -> FeatureUnion:
         _threads(self.n_jobs, [lambda t=t: t.fit(df) for _, t in self.transformers])
+        self._number()
+        return self
+
+    def _number(self) -> None:
         widths = [t.n_features if hasattr(t, "n_features") else t.vocabulary_.count() for _, t in self.transformers]
         self.offsets_ = np.concatenate([[0], np.cumsum(widths)]).astype(int)
-        return self
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        parts = _threads(self.n_jobs, [lambda t=t: t.fit_transform(df) for _, t in self.transformers])
+        self._number()
+        return self._joined(parts)
 
     def transform(self, df: DataFrame) -> DataFrame:
+        return self._joined([t.transform(df) for _, t in self.transformers])
+
+    def _joined(self, parts: list[DataFrame]) -> DataFrame:
         out = None
-        for (name, t), offset in zip(self.transformers, self.offsets_):
+        for (name, _), part, offset in zip(self.transformers, parts, self.offsets_):
             weight = float((self.weights or {}).get(name, 1.0))
-            part = t.transform(df)
             part = part.withColumns({"feature": F.col("feature") + int(offset), "value": F.col("value").cast("double") * weight})
             out = part if out is None else out.unionByName(part)
         return out
@@ -121,8 +132,11 @@ def _threads(n_jobs: int, calls: list) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]
 
 
-def with_fold(df: DataFrame, n_folds: int = 3, key: str = "row_id", name: str = "fold") -> DataFrame:
-    """Consecutive folds in key order; the first n mod k folds have a row more."""
+def with_fold(df: DataFrame, n_folds: int = 3, key: str = "row_id", name: str = "fold", block: str | None = None) -> DataFrame:
+    """Consecutive folds in key order; the first n mod k folds have a row more. With ``block``, a column,
+    folds are of whole blocks in their order instead."""
+    if block is not None:
+        return df.join(with_fold(df.select(block).distinct(), n_folds, block, name), block)
     n = df.count()
     if not 2 <= n_folds <= n:
         raise ValueError(f"{n_folds} folds of {n} rows")
@@ -146,25 +160,30 @@ class GridSearchCV(Estimator):
     first of equal ones. ``split(data, fold, test)`` gives the rows inside or outside a fold; by
     default ``data`` is a DataFrame with a column ``fold``."""
 
-    def __init__(self, estimator: Estimator, grid: dict | list, n_folds: int = 3, iid: bool = True, refit: bool = True, n_jobs: int = 1, error_score="raise", key: str = "row_id", split=None, scorer=None):
+    def __init__(self, estimator: Estimator, grid: dict | list, n_folds: int = 3, iid: bool = True, refit: bool = True, n_jobs: int = 1, error_score="raise", key: str = "row_id", split=None, scorer=None, block: str | None = None):
         self.estimator, self.grid, self.n_folds, self.iid, self.refit = estimator, grid, n_folds, iid, refit
-        self.n_jobs, self.error_score, self.key, self.split, self.scorer = n_jobs, error_score, key, split, scorer
+        self.n_jobs, self.error_score, self.key, self.split, self.scorer, self.block = n_jobs, error_score, key, split, scorer, block
 
     def fit(self, data) -> GridSearchCV:
         split = self.split
         if split is None:
-            folded = with_fold(data, self.n_folds, self.key)
+            folded = with_fold(data, self.n_folds, self.key, block=self.block)
             split = lambda _, k, test: folded.where(F.col("fold") == k if test else F.col("fold") != k).drop("fold")
         first = lambda d: d[1] if isinstance(d, tuple) else d
         combos = parameter_grid(self.grid)
         sizes = [first(split(data, k, True)).count() for k in range(self.n_folds)]
 
+        self.seconds_ = {}  # (combination, fold) -> seconds of the fit and of the score
+
         def one(params: dict, k: int) -> float:
+            began = time.perf_counter()
             try:
                 model = self.estimator.clone().set_params(**params).fit(split(data, k, False))
+                fitted = time.perf_counter()
                 got = self.scorer(model, split(data, k, True)) if self.scorer else model.score(split(data, k, True))
                 if not isinstance(got, (int, float)):
                     raise ValueError(f"a score must be a number; got {got!r}")
+                self.seconds_[combos.index(params), k] = (fitted - began, time.perf_counter() - fitted)
                 return float(got)
             except Exception:
                 if self.error_score == "raise":

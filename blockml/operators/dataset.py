@@ -117,14 +117,17 @@ class Dataset:
         if isinstance(index, slice):
             return list(range(n))[index]
         if isinstance(index, (list, tuple)) and all(isinstance(i, int) for i in index):
-            return list(dict.fromkeys(i + n if i < 0 else i for i in index if -n <= i < n))
+            if lost := [i for i in index if not -n <= i < n]:
+                raise IndexError(f"no blocks {lost}; there are {n}")
+            return list(dict.fromkeys(i + n if i < 0 else i for i in index))
         raise KeyError(f"unexpected index: {index!r}")
 
     def blocks(self, index) -> DataFrame:
         """Rows of the picked blocks with ``out_block``, their place in the order asked for.
 
         ``index`` is a block number, a slice, or a list of numbers; negative numbers count from
-        the end, repeated ones count once and those out of range not at all.
+        the end, and repeated ones count once. A number out of range raises IndexError; a slice takes what
+        there is.
         """
         picked = self._picked(index)
         rows = self.blocked()
@@ -133,8 +136,9 @@ class Dataset:
         place = self.df.sparkSession.createDataFrame([(b, i) for i, b in enumerate(picked)], "block long, out_block long")
         return rows.join(F.broadcast(place), "block") if len(picked) < 100_000 else rows.join(place, "block")
 
-    def __getitem__(self, index):
-        """``ds[blocks]``, ``ds[blocks, columns]``; columns are a name, a list, or a slice."""
+    def __getitem__(self, index) -> Dataset:
+        """``ds[blocks]``, ``ds[blocks, columns]``; columns are a name, a list, or a slice. Picked blocks
+        are cut into blocks afresh, as one run."""
         if isinstance(index, tuple):
             if len(index) != 2:
                 raise IndexError("Too many indices")
@@ -145,8 +149,20 @@ class Dataset:
         else:
             rows, cols = index, self.columns
         df = self.df if isinstance(rows, slice) and rows == slice(None) else self.blocks(rows)
-        order = ["out_block"] if "out_block" in df.columns and "out_block" not in self.df.columns else []
-        return df.select(self.key, *order, *cols) if order else Dataset(df.select(self.key, *cols), self.key, self.block_size, self.partitions)
+        if df is self.df:
+            return Dataset(df.select(self.key, *cols), self.key, self.block_size, self.partitions)
+        # in the order asked for; the rows' own ids give way to ones of that order
+        place = F.shiftleft(F.col("out_block"), 40) + F.col("pos")
+        return Dataset(df.select(place.alias(self.key), *cols), self.key, self.block_size)
+
+    def get(self, index) -> Dataset:
+        """``ds[index]``."""
+        return self[index]
+
+    @property
+    def ix(self) -> Dataset:
+        """``ds.ix[blocks, columns]`` is ``ds[blocks, columns]``."""
+        return self
 
     # transformation
 
@@ -164,6 +180,14 @@ class Dataset:
         """``function`` over iterators of Arrow batches."""
         return self.df.mapInArrow(function, schema)
 
+    def transform_blocks(self, function, schema: str) -> DataFrame:
+        """``function`` of each block, as an Arrow table in row order; it returns a table of ``schema``."""
+
+        def run(block):
+            return function(block.sort_by("pos").drop_columns(["pos", "part", "block"]))
+
+        return self.blocked().groupBy("block").applyInArrow(run, schema)
+
     def where(self, condition) -> Dataset:
         return Dataset(self.df.where(condition), self.key, self.block_size, self.partitions)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier as MLForest
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockml.operators.base import Classifier, classes_of
+from blockml.operators.local import LocalModel
+from blockml.session import shared_path
 
 
 class RandomForestClassifier(Classifier):
@@ -27,6 +29,28 @@ class RandomForestClassifier(Classifier):
         self.n_trees_ = self._model.getNumTrees
         return self
 
+    @property
+    def trees(self) -> list[dict]:
+        """Each tree as lists by node: children (-1 in a leaf), feature, threshold, and class counts."""
+        path = shared_path(SparkSession.getActiveSession(), "forest")
+        self._model.save(path)
+        rows = SparkSession.getActiveSession().read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+        out: list[dict] = [{k: [] for k in ("left", "right", "feature", "threshold", "stats")} for _ in range(self.n_trees_)]
+        for r in rows:
+            tree, split = out[r["treeID"]], r["split"]
+            inner = r["leftChild"] >= 0
+            tree["left"].append(r["leftChild"] if inner else -1)
+            tree["right"].append(r["rightChild"] if inner else -1)
+            tree["feature"].append(split["featureIndex"] if inner else 0)
+            tree["threshold"].append(split["leftCategoriesOrThreshold"][0] if inner else 0.0)
+            tree["stats"].append(list(r["impurityStats"]))
+        return out
+
+    def to_local(self) -> LocalModel:
+        got = super().to_local()
+        got["trees_"] = self.trees
+        return got
+
     def predict(self, df: DataFrame) -> DataFrame:
         labels = F.array(*map(F.lit, self.classes_))
         with_features = df.withColumn("__features", array_to_vector(F.col(self.x).cast("array<double>")))

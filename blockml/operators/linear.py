@@ -81,12 +81,14 @@ class _LinearClassifier(Classifier):
         if len(self.classes_) < 2:
             raise ValueError("two classes or more are needed")
         positive = self.classes_[1:] if len(self.classes_) == 2 else self.classes_
-        w = np.array([fit(df.select(F.col(self.x).cast("array<double>").alias("x"), F.when(F.col(self.y) == c, 1.0).otherwise(-1.0).alias("y"), *self._extra())) for c in positive])
+        # a fit reads its rows many times
+        rows = df.select(F.col(self.x).cast("array<double>").alias("x"), F.col(self.y).alias("label")).persist()
+        try:
+            w = np.array([fit(rows.select("x", F.when(F.col("label") == c, 1.0).otherwise(-1.0).alias("y"))) for c in positive])
+        finally:
+            rows.unpersist()
         self.coef_, self.intercept_ = w[:, :-1], w[:, -1]
 
-    def _extra(self) -> list[str]:
-        return []
-
 
 class LogisticRegression(_LinearClassifier):
     """L1 or L2 penalty; the intercept is free. Newton steps do the fit of L2, proximal Newton

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockml.functions.numeric import argmax, vector
+from blockml.functions.numeric import argmax, let, vector
 from blockml.operators.base import Classifier, width_of
 
 
+def log_sum_exp(x: Column) -> Column:
+    """Of an array of numbers."""
+    return let(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top))))
+
+
 class GaussianNB(Classifier):
     """Columns X (array) and y."""
 
@@ -43,9 +48,8 @@ class GaussianNB(Classifier):
 
     def predict_log_proba(self, df: DataFrame) -> DataFrame:
         """Adds ``log_proba``, an array in the order of ``classes_``."""
-        top = F.array_max("joint")
-        total = top + F.log(F.aggregate(F.transform("joint", lambda j: F.exp(j - top)), F.lit(0.0), lambda s, v: s + v))
-        return self._joint(df).withColumn("log_proba", F.transform("joint", lambda j: j - total)).drop("joint")
+        total = log_sum_exp(F.col("joint"))
+        return self._joint(df).withColumn("log_proba", let(total, lambda t: F.transform("joint", lambda j: j - t))).drop("joint")
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         got = self.predict_log_proba(df)
@@ -53,10 +57,11 @@ class GaussianNB(Classifier):
 
 
 class _DiscreteNB(Classifier):
-    """Learns from ``entries`` (key, feature, value) and ``labels`` (key, y, weight if named)."""
+    """Learns from ``entries`` (key, feature, value) and ``labels`` (key, y, weight if named). Priors are
+    ``class_prior``, else the classes' shares, or equal without ``fit_prior``."""
 
-    def __init__(self, alpha: float = 1.0, key: str = "row_id", y: str = "y", weight: str | None = None):
-        self.alpha, self.key, self.y, self.weight = alpha, key, y, weight
+    def __init__(self, alpha: float = 1.0, key: str = "row_id", y: str = "y", weight: str | None = None, fit_prior: bool = True, class_prior: list[float] | None = None):
+        self.alpha, self.key, self.y, self.weight, self.fit_prior, self.class_prior = alpha, key, y, weight, fit_prior, class_prior
 
     def _value(self):
         return F.col("value")
@@ -68,7 +73,14 @@ class _DiscreteNB(Classifier):
         rows = labels.groupBy(self.y).agg(F.sum("w").alias("n")).orderBy(self.y).collect()
         self.classes_ = [r[self.y] for r in rows]
         self.class_count_ = np.array([r["n"] for r in rows], float)
-        self.class_log_prior_ = np.log(self.class_count_ / self.class_count_.sum())
+        if self.class_prior is not None:
+            if len(self.class_prior) != len(rows):
+                raise ValueError(f"{len(rows)} classes need as many priors; got {len(self.class_prior)}")
+            self.class_log_prior_ = np.log(np.asarray(self.class_prior, float))
+        elif self.fit_prior:
+            self.class_log_prior_ = np.log(self.class_count_ / self.class_count_.sum())
+        else:
+            self.class_log_prior_ = np.full(len(rows), -np.log(len(rows)))
         # one row a feature, with the classes' sums side by side
         sums = [F.sum(F.when(F.col(self.y) == c, F.col("w") * self._value()).otherwise(0.0)) for c in self.classes_]
         self.feature_count_ = entries.join(labels, self.key).groupBy("feature").agg(F.array(*sums).alias("counts"))
@@ -92,9 +104,8 @@ class _DiscreteNB(Classifier):
         return self.joint(data).withColumn("prediction", F.get(labels, argmax(F.col("joint")))).drop("joint")
 
     def predict_log_proba(self, data: tuple[DataFrame, DataFrame]) -> DataFrame:
-        top = F.array_max("joint")
-        total = top + F.log(F.aggregate(F.transform("joint", lambda j: F.exp(j - top)), F.lit(0.0), lambda s, v: s + v))
-        return self.joint(data).withColumn("log_proba", F.transform("joint", lambda j: j - total)).drop("joint")
+        total = log_sum_exp(F.col("joint"))
+        return self.joint(data).withColumn("log_proba", let(total, lambda t: F.transform("joint", lambda j: j - t))).drop("joint")
 
     def predict_proba(self, data: tuple[DataFrame, DataFrame]) -> DataFrame:
         got = self.predict_log_proba(data)
@@ -110,10 +121,17 @@ class MultinomialNB(_DiscreteNB):
 
 
 class BernoulliNB(_DiscreteNB):
-    """Presence of features; absent ones count by the log of one minus their probability."""
+    """Presence of features: values above ``binarize``, or 1s of data that are binary already where that
+    is None. Absent ones count by the log of one minus their probability."""
+
+    def __init__(self, alpha: float = 1.0, key: str = "row_id", y: str = "y", weight: str | None = None, fit_prior: bool = True, class_prior: list[float] | None = None, binarize: float | None = 0.0):
+        super().__init__(alpha, key, y, weight, fit_prior, class_prior)
+        self.binarize = binarize
 
     def _value(self):
-        return F.when(F.col("value") > 0, 1.0).otherwise(0.0)
+        if self.binarize is None:
+            return F.col("value").cast("double")
+        return F.when(F.col("value") > self.binarize, 1.0).otherwise(0.0)
 
     def _weights(self):
         k = range(len(self.classes_))
@@ -121,6 +139,3 @@ class BernoulliNB(_DiscreteNB):
         base = self.feature_count_.agg(F.array(*(F.sum(F.log(1 - p[i])) for i in k)).alias("s")).first()["s"]
         logs = [F.log(p[i]) - F.log(1 - p[i]) for i in k]
         return self.feature_count_.select("feature", F.array(*logs).alias("w")), self.class_log_prior_ + np.array(base)
-
-
-

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockml.operators.base import Estimator, width_of
+from blockml.operators.base import Estimator, block, width_of
 
 MIN_FOUND = 0.9
+BROADCAST_BYTES = 64 << 20
 
 
 def unit(x: Column) -> Column:
@@ -38,10 +40,50 @@ def _all_pairs(queries: DataFrame, points: DataFrame, key: str, x: str) -> DataF
     return p.crossJoin(q).where("query <> neighbor").select("query", "neighbor", (1 - inner(F.col("q"), F.col("p"))).alias("distance"))
 
 
+def _blocks(df: DataFrame, key: str, x: str, rows: int, names: tuple[str, str]) -> DataFrame:
+    """Rows of up to ``rows`` keys and unit vectors, as binaries."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                m = block(part.column(1))
+                length = np.linalg.norm(m, axis=1, keepdims=True)
+                m = np.divide(m, length, out=m, where=length > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([m.tobytes()])], names=names)
+
+    there = df.where(F.col(x).isNotNull()).select(F.col(key).cast("long"), F.col(x).cast("array<double>"))
+    return there.mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
+
+
+def _nearest_of_blocks(k: int):
+    """Of each pair of blocks the ``k`` nearest points of every query, and those as near as the last."""
+
+    def run(batches):
+        for b in batches:
+            for ids, vectors, asked, wanted in zip(*(c.to_pylist() for c in b.columns)):
+                p, q = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
+                far = 1 - np.frombuffer(wanted).reshape(len(q), -1) @ np.frombuffer(vectors).reshape(len(p), -1).T
+                far = np.round(far, 12)  # products of blocks of other shapes differ in the last bits
+                far[q[:, None] == p[None, :]] = np.inf
+                last = np.partition(far, min(k, len(p)) - 1, axis=1)[:, min(k, len(p)) - 1]
+                i, j = np.nonzero((far <= last[:, None]) & np.isfinite(far))
+                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(p[j]), pa.array(far[i, j])], names=["query", "neighbor", "distance"])
+
+    return run
+
+
 def exact(queries: DataFrame, points: DataFrame, k: int, key: str = "row_id", x: str = "X") -> DataFrame:
-    """(query, neighbor, distance, rank): the ``k`` nearest other points, ties by key. Compares all
-    pairs; for query sets that are small beside the points."""
-    return _nearest(_all_pairs(queries, points, key, x), k)
+    """(query, neighbor, distance, rank): the ``k`` nearest other points, ties by key.
+
+    Every query is compared with every point, block by block as a matrix product, of which only the
+    nearest leave the task. The queries' blocks are sent to all tasks where they take at most
+    ``BROADCAST_BYTES``; else blocks meet blocks.
+    """
+    size = queries.count() * 8 * width_of(queries, x) if not queries.isEmpty() else 0
+    asked = _blocks(queries, key, x, 1024, ("asked", "wanted"))
+    pairs = _blocks(points, key, x, 4096, ("ids", "vectors")).crossJoin(F.broadcast(asked) if size <= BROADCAST_BYTES else asked)
+    return _nearest(pairs.mapInArrow(_nearest_of_blocks(k), "query long, neighbor long, distance double"), k)
 
 
 class LSHForest(Estimator):
@@ -70,12 +112,11 @@ class LSHForest(Estimator):
     def candidates(self, queries: DataFrame) -> DataFrame:
         """(query, neighbor, distance) of all compared pairs."""
         q, p = _sides(queries, self._points, self.key, self.x)
-        q = q.select("query", "q", F.inline(self._codes("q")))
         near = F.transform(F.array(F.lit(0), *(F.lit(1 << i) for i in range(self.bits))), lambda m: F.col("code").bitwiseXOR(m))
-        q = q.select("query", "q", "table", F.explode(near).alias("code"))
-        p = p.select("neighbor", "p", F.inline(self._codes("p")))
-        met = q.join(p, ["table", "code"]).where("query <> neighbor")
-        return met.groupBy("query", "neighbor").agg((1 - inner(F.first("q"), F.first("p"))).alias("distance"))
+        asked = q.select("query", F.inline(self._codes("q"))).select("query", "table", F.explode(near).alias("code"))
+        # vectors follow only the pairs that met
+        met = asked.join(p.select("neighbor", F.inline(self._codes("p"))), ["table", "code"]).where("query <> neighbor").select("query", "neighbor").distinct()
+        return met.join(p, "neighbor").join(q, "query").select("query", "neighbor", (1 - inner(F.col("q"), F.col("p"))).alias("distance"))
 
     def found(self, distance: float) -> float:
         """The chance that a pair at a cosine distance is compared."""

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockml.functions import text as T
 from blockml.functions.murmur import murmur3_column
 from blockml.operators.base import Estimator, term_ids
+from blockml.session import materialise
 
 
 def normalised(entries: DataFrame, norm: str | None, key: str) -> DataFrame:
@@ -21,17 +23,57 @@ def normalised(entries: DataFrame, norm: str | None, key: str) -> DataFrame:
     return entries.withColumn("value", F.when(length == 0, F.col("value")).otherwise(F.col("value") / length))
 
 
+def _python(function: Callable, kind: str) -> Callable[[Column], Column]:
+    """A Python function of one string, over Arrow batches."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(function, na_action="ignore")
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
 class _Analyser(Estimator):
+    """``preprocessor``, ``tokenizer`` and ``analyzer`` may be functions of a Column, or of a string where
+    wrapped in ``python``: those run over Arrow batches. Binary text is decoded as ``encoding`` with
+    ``decode_error`` strict, ignore or replace."""
+
+    preprocessor = tokenizer = strip_accents = None
+    encoding, decode_error = "utf-8", "strict"
+
+    @staticmethod
+    def python(function: Callable, kind: str = "array<string>") -> Callable[[Column], Column]:
+        """For ``analyzer`` and ``tokenizer``; a ``preprocessor`` has kind string."""
+        return _python(function, kind)
+
+    def _text(self, df: DataFrame) -> Column:
+        col = F.col(self.text)
+        if dict(df.dtypes)[self.text] == "binary":
+            encoding, errors = self.encoding, self.decode_error
+            if errors == "strict" and encoding.lower() in ("utf-8", "utf8"):
+                col = F.decode(F.when(F.is_valid_utf8(col.cast("string")) | col.isNull(), col).otherwise(F.raise_error(F.lit("text is not UTF-8")).cast("binary")), "utf-8")
+            else:
+                col = _python(lambda b: bytes(b).decode(encoding, errors), "string")(col)
+        if self.preprocessor:
+            return self.preprocessor(col)
+        col = F.lower(col) if self.lowercase else col
+        return T.without_accents(col, self.strip_accents) if self.strip_accents else col
+
     def terms(self, df: DataFrame) -> DataFrame:
         """(key, term), as often as a term occurs."""
+        if self.strip_accents not in (None, "ascii", "unicode"):
+            raise ValueError(f"no strip_accents {self.strip_accents}")
         low, high = self.ngram_range
-        col = F.col(self.text)
         if callable(self.analyzer):
-            tokens = self.analyzer(col)
+            tokens = self.analyzer(F.col(self.text))
         elif self.analyzer == "word":
-            tokens = T.ngrams(T.word_tokens(col, self.token_pattern, self.lowercase, self.stop_words), low, high)
+            text = self._text(df)
+            words = self.tokenizer(text) if self.tokenizer else T.word_tokens(text, self.token_pattern, False)
+            if self.stop_words:
+                words = F.filter(words, lambda t: ~t.isin(*self.stop_words))
+            tokens = T.ngrams(words, low, high)
         elif self.analyzer in ("char", "char_wb"):
-            tokens = (T.char_ngrams if self.analyzer == "char" else T.char_wb_ngrams)(col, low, high, self.lowercase)
+            tokens = (T.char_ngrams if self.analyzer == "char" else T.char_wb_ngrams)(self._text(df), low, high, False)
         else:
             raise ValueError(f"no analyzer {self.analyzer}")
         return df.select(self.key, F.explode(tokens).alias("term"))
@@ -60,7 +102,13 @@ class CountVectorizer(_Analyser):
         lowercase: bool = True,
         stop_words: list[str] | None = None,
         token_pattern: str = T.WORD,
+        strip_accents: str | None = None,
+        preprocessor: Callable[[Column], Column] | None = None,
+        tokenizer: Callable[[Column], Column] | None = None,
+        encoding: str = "utf-8",
+        decode_error: str = "strict",
     ):
+        self.strip_accents, self.preprocessor, self.tokenizer, self.encoding, self.decode_error = strip_accents, preprocessor, tokenizer, encoding, decode_error
         self.key, self.text, self.analyzer, self.ngram_range = key, text, analyzer, ngram_range
         self.min_df, self.max_df, self.max_features, self.vocabulary = min_df, max_df, max_features, vocabulary
         self.binary, self.lowercase, self.stop_words, self.token_pattern = binary, lowercase, stop_words, token_pattern
@@ -74,12 +122,24 @@ class CountVectorizer(_Analyser):
             rows = [(t, i) for i, t in enumerate(self.vocabulary)]
             self.vocabulary_ = df.sparkSession.createDataFrame(rows, "term string, feature long")
             return self
+        return self._learn(self._counts(df), df)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """As ``fit`` and ``transform``, but the text is analysed once: its counts are written and reread."""
+        counts = materialise(self._counts(df), "counts")
+        if self.vocabulary is None:
+            self._learn(counts, df)
+        else:
+            self.fit(df)
+        return self._entries(counts)
+
+    def _learn(self, counts: DataFrame, df: DataFrame) -> CountVectorizer:
         n = df.count() if isinstance(self.min_df, float) or isinstance(self.max_df, float) else 0
         low = self.min_df if isinstance(self.min_df, int) else self.min_df * n
         high = self.max_df if isinstance(self.max_df, int) else self.max_df * n
         if high < low:
             raise ValueError("max_df corresponds to fewer documents than min_df")
-        every = self._counts(df).groupBy("term").agg(F.count("*").alias("df"), F.sum("value").alias("tf"))
+        every = materialise(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("value").alias("tf")), "terms")
         kept = every.where(F.col("df").between(low, high))
         if self.max_features is not None:
             kept = kept.orderBy(F.desc("tf"), "term").limit(self.max_features)
@@ -90,7 +150,9 @@ class CountVectorizer(_Analyser):
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        counts = self._counts(df)
+        return self._entries(self._counts(df))
+
+    def _entries(self, counts: DataFrame) -> DataFrame:
         if self.binary:
             counts = counts.withColumn("value", F.lit(1).cast("long"))
         return counts.join(self.vocabulary_.select("term", "feature"), "term").select(self.key, "feature", "value")
@@ -112,7 +174,13 @@ class HashingVectorizer(_Analyser):
         lowercase: bool = True,
         stop_words: list[str] | None = None,
         token_pattern: str = T.WORD,
+        strip_accents: str | None = None,
+        preprocessor: Callable[[Column], Column] | None = None,
+        tokenizer: Callable[[Column], Column] | None = None,
+        encoding: str = "utf-8",
+        decode_error: str = "strict",
     ):
+        self.strip_accents, self.preprocessor, self.tokenizer, self.encoding, self.decode_error = strip_accents, preprocessor, tokenizer, encoding, decode_error
         self.key, self.text, self.n_features, self.norm, self.binary, self.non_negative = key, text, n_features, norm, binary, non_negative
         self.analyzer, self.ngram_range, self.lowercase, self.stop_words, self.token_pattern = analyzer, ngram_range, lowercase, stop_words, token_pattern
 
@@ -146,7 +214,8 @@ class TfidfTransformer(Estimator):
         if self.use_idf:
             n = entries.select(self.key).distinct().count() if n_rows is None else n_rows
             s = float(self.smooth_idf)
-            self.idf_ = entries.groupBy("feature").agg(F.count("*").alias("df")).select("feature", (F.log((F.lit(float(n)) + s) / (F.col("df") + s)) + 1.0).alias("idf"))
+            idf = F.log((F.lit(float(n)) + s) / (F.col("df") + s)) + 1.0
+            self.idf_ = materialise(entries.groupBy("feature").agg(F.count("*").alias("df")).select("feature", idf.alias("idf")), "idf")
         return self
 
     def transform(self, entries: DataFrame) -> DataFrame:
