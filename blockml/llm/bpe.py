@@ -2,16 +2,18 @@
 
 A text is split into words by the vocabulary's pattern, in the JVM. Every distinct word is folded
 once: ``aggregate`` starts from the ids of the word's bytes and at each step merges the pair of
-neighbours with the lowest rank, looked up in a rank map that is part of the plan as literals.
+neighbours with the lowest rank, looked up in a rank map that is part of the plan as literals (the
+ranks of the first pairs are found in Arrow batches).
 The most frequent words become a dictionary of checked size that is sent to the executors; the
 words outside it are folded where they stand, once a row, so the text never moves. Decoding takes
-each id's bytes from a table and puts them one after the other, as binaries.
+each id's bytes from a literal and puts them one after the other, as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import json
 from pathlib import Path
 
 import numpy as np
@@ -20,15 +22,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockml.session import default_parallelism, fresh, materialise
+from blockml.functions.numeric import let
+from blockml.session import col, default_parallelism, fresh, materialise
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Java reads \s as ASCII without (?U).
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ID_BITS = 17
 PRIME = (1 << 34) + 25  # above every pair's key
-_NONE = 1 << 40
-CHUNK = 1 << 18  # words whose ids are gathered at a time
+_NONE = 1 << ID_BITS  # above all ids
+_EMPTY = 1 << 60
+ROWS = 512
 
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
@@ -109,13 +113,13 @@ class Vocabulary:
         self.multipliers, slots = perfect_hash(keys)
         self._literals: dict[str, Column] = {}
         value = {(a << ID_BITS) | b: r for (a, b), r in self.pairs.items()}
-        # key and merged id in one number; -1 in an empty slot
-        self.slots = [-1 if k < 0 else (k << ID_BITS) | value[k] for k in slots.tolist()]
-        self.bytes = [self.ranks[bytes([i])] for i in range(256)]
-        pieces: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
+        # key and merged id in one number
+        self.slots = np.array([_EMPTY if k < 0 else (k << ID_BITS) | value[k] for k in slots.tolist()], np.int64)
+        self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        pieces: list[str | None] = [None] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
-            pieces[rank] = piece
-        self.pieces = pa.array(pieces, pa.binary())
+            pieces[rank] = base64.b64encode(piece).decode()
+        self.pieces = json.dumps(pieces)
 
     def _literal(self, name: str) -> Column:
         """One Column for all uses, so that the plan holds one copy."""
@@ -123,46 +127,42 @@ class Vocabulary:
             self._literals[name] = _literal(getattr(self, name), "bigint")
         return self._literals[name]
 
-    def _rank(self, key: Column) -> Column:
-        """The merged id of the pair, or a number above all ids."""
-        m = F.get(self._literal("multipliers"), key % len(self.multipliers))
-        found = F.get(self._literal("slots"), (key + 1) * m % PRIME % len(self.slots))
-        return F.when(F.shiftright(found, ID_BITS) == key, found.bitwiseAND((1 << ID_BITS) - 1)).otherwise(F.lit(_NONE))
+    def _packed(self, a: Column, b: Column) -> Column:
+        """The merged id of a and b, or a number above all ids, and below it a. No b, nothing to merge."""
 
-    def fold(self, start: Column) -> Column:
-        """Ids of a word by a fold of ranked merges, from the ids of its bytes (array<bigint>)."""
+        def merged(key: Column) -> Column:
+            m = F.get(self._literal("multipliers"), key % len(self.multipliers))
+            found = F.get(self._literal("slots"), (key + 1) * m % PRIME % len(self.slots))
+            return found.bitwiseXOR(F.shiftleft(key, ID_BITS))  # the id where the keys are equal, else a larger number
 
-        def rank(a: Column, b: Column) -> Column:
-            return self._rank(F.shiftleft(a, ID_BITS).bitwiseOR(b))
+        # least takes no heed of nulls
+        return F.shiftleft(F.least(let(F.shiftleft(a, ID_BITS).bitwiseOR(b), merged), F.lit(_NONE)), ID_BITS).bitwiseOR(a)
 
-        def merge(state: Column, best: Column) -> Column:
-            ids, pairs = state["ids"], state["pairs"]
+    def fold(self, start: Column) -> Column:
+        """Ids of a word by a fold of ranked merges, from ``start_of`` its bytes. Each number holds an id and
+        above it the id that it and the next one merge to, which is also the merge's rank: the least number
+        is the next merge."""
+        mask = (1 << ID_BITS) - 1
 
-            def at(k: Column) -> Column:
-                """The pair at k is that of ids k - 1 and k."""
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), k - 1), F.array(best), F.slice(ids, k + 2, F.size(ids))).alias("ids"),
-                    F.concat(
-                        F.slice(pairs, F.lit(1), k - 1),
-                        F.array(rank(F.get(ids, k - 2), best), rank(best, F.get(ids, k + 1))),
-                        F.slice(pairs, k + 3, F.size(pairs)),
-                    ).alias("pairs"),
-                )
+        def merge(state: Column, best: Column, k: Column) -> Column:
+            new = F.shiftright(best, ID_BITS)
 
-            return _let((F.array_position(pairs, best) - 1).cast("int"), at)
+            def place(x: Column, i: Column) -> Column:
+                after = F.when(i == k, self._packed(new, F.get(state, i + 2).bitwiseAND(mask)))
+                return F.when((i < k - 1) | (i > k + 1), x).otherwise(F.coalesce(after, F.when(i < k, self._packed(x.bitwiseAND(mask), new)), F.lit(-1)))
 
-        def step(state: Column, _: Column) -> Column:
-            return _let(F.array_min(state["pairs"]), lambda best: F.when(best < _NONE, merge(state, best)).otherwise(state))
+            return F.array_remove(F.transform(state, place), -1)
 
-        ends = F.array(F.lit(_NONE))
-        pairs = lambda ids: F.concat(ends, F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1))))
-        state = _let(start, lambda ids: F.struct(ids.alias("ids"), pairs(ids).alias("pairs")))
-        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(start))), state, step, lambda s: s["ids"]).cast("array<int>")
+        def step(state: Column, _: Column) -> Column:
+            at = lambda best: (F.array_position(state, best) - 1).cast("int")
+            return let(F.array_min(state), lambda best: F.when(best < _NONE << ID_BITS, let(at(best), lambda k: merge(state, best, k))).otherwise(state))
 
+        ids = lambda state: F.transform(state, lambda x: x.bitwiseAND(mask).cast("int"))
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(start))), start, step, ids)
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with one evaluation of ``value``."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``start_of`` needs."""
+        return self.bytes, self.multipliers, self.slots
 
 
 def words(text: Column) -> Column:
@@ -195,127 +195,80 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
-def _byte_ids(words: pa.Array, code: np.ndarray) -> pa.ListArray:
-    """The ids of each word's bytes."""
+def start_of(words: pa.Array, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.ListArray:
+    """For each word what a fold starts from: the ids of its bytes, each below what it merges to with the next."""
+    code, multipliers, slots = tables
     words = pa.concat_arrays([words, pa.array([""], pa.string())])  # never without a buffer
-    upto = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
-    return pa.ListArray.from_arrays(pa.array(upto - upto[0], pa.int32()), pa.array(code[data], pa.int64()))
+    upto = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)].astype(np.int64)
+    a = code[np.frombuffer(words.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]]
+    upto = upto - upto[0]
+    key = (a << ID_BITS) | np.append(a[1:], 0)
+    found = slots[(key + 1) * multipliers[key % len(multipliers)] % PRIME % len(slots)] ^ (key << ID_BITS)
+    merged = np.minimum(found, _NONE)
+    merged[upto[1:][np.diff(upto) > 0] - 1] = _NONE  # the last byte of a word has no next one
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(merged << ID_BITS | a))
 
 
-def _starts(code: np.ndarray):
+def _starts(tables):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["word"], _byte_ids(b["word"], code)], names=["word", "start"])
+            yield pa.RecordBatch.from_arrays([b["word"], start_of(b["word"], tables)], names=["word", "start"])
 
     return run
 
 
-def _lengths(lists: pa.ListArray) -> np.ndarray:
-    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _offsets(counts: np.ndarray) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-
-
-def _lookup(held, fold_bytes: int, names: tuple[str, str] = ("ids", "unknown")):
-    """Batches of word lists as ``ids``, in which -1 - k stands for the row's k-th unknown word, and
-    ``unknown``, the ids of those words' bytes."""
+def _lookup(held, fold_bytes: int, names: tuple[str, str]):
+    """Batches of word lists as segments, each the ids of known words and then one unknown word, or none
+    at the row's end; and the starts of the row's unknown words, to which segments refer."""
+
+    def convert(b):
+        dictionary, begin, width, ids, ranks, pairs, tables = held.value
+        *others, lists = b.columns
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        unique = coded.dictionary
+        at = pc.fill_null(pc.index_in(unique, value_set=dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.binary_length(unique).to_numpy(zero_copy_only=False)
+        known = at >= 0
+        starts, widths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        starts[known], widths[known] = begin[at[known]], width[at[known]]
+        unknown, long, total = ~known, [ids], len(ids)
+        for k in np.flatnonzero(unknown & (size > fold_bytes)):  # a fold is quadratic in the word
+            own = np.array(merge_bytes(unique[int(k)].as_py().encode(), ranks, pairs), np.int32)
+            starts[k], widths[k], unknown[k] = total, len(own), False
+            long.append(own)
+            total += len(own)
+        flat = np.concatenate(long) if len(long) > 1 else ids
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        w = widths[word]
+        found = flat[_ranges(starts[word], w)].astype(np.int32)
+        upto, ends = np.concatenate([[0], np.cumsum(w)]), np.cumsum(counts)
+        places = np.flatnonzero(unknown[word])
+        # the row's unknown words, each once
+        row = np.searchsorted(ends, places, "right")
+        once, which = np.unique(row * max(1, len(unique)) + word[places], return_inverse=True)
+        own_row = once // max(1, len(unique))
+        number = np.arange(len(once)) - np.searchsorted(own_row, own_row)
+        own_words = start_of(unique.take(pa.array(once % max(1, len(unique)))), tables)
+        own_ends = pa.array(np.searchsorted(own_row, np.arange(len(counts) + 1)), pa.int32())
+        # segments end at unknown words and at the ends of rows
+        order = np.argsort(np.concatenate([places * 2, ends * 2 - 1]), kind="stable")
+        cut = np.concatenate([upto[places], upto[ends]])[order]
+        refers = pa.array(np.concatenate([number[which], np.full(len(ends), -1)])[order], pa.int32())
+        pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cut]), pa.int32()), pa.array(found))
+        segments = pa.StructArray.from_arrays([pieces, refers], names=["known", "word"])
+        offsets = pa.array(np.concatenate([[0], np.flatnonzero(order >= len(places)) + 1]), pa.int32())
+        missing = lists.is_null()
+        return pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays(offsets, segments, mask=missing), pa.ListArray.from_arrays(own_ends, own_words, mask=missing)], names=[*b.schema.names[:-1], *names])
 
     def run(batches):
-        dictionary, begin, width, ids, ranks, pairs, code = held.value
         for b in batches:
-            *others, lists = b.columns
-            counts = _lengths(lists)
-            coded = lists.flatten().dictionary_encode()
-            unique = coded.dictionary
-            at = pc.fill_null(pc.index_in(unique, value_set=dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            size = pc.binary_length(unique).to_numpy(zero_copy_only=False)
-            starts, widths, flat = np.where(at < 0, 0, begin[at] if len(begin) else 0), np.where(at < 0, 1, width[at] if len(width) else 0), [ids]
-            total = len(ids)
-            unknown = at < 0
-            for k in np.flatnonzero(unknown & (size > fold_bytes)):  # a fold is quadratic in the word
-                own = np.array(merge_bytes(unique[int(k)].as_py().encode(), ranks, pairs), np.int32)
-                starts[k], widths[k], unknown[k] = total, len(own), False
-                flat.append(own)
-                total += len(own)
-            word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            places = np.flatnonzero(unknown[word])
-            row = np.searchsorted(np.cumsum(counts), places, "right")
-            once, which = np.unique(row * max(1, len(unique)) + word[places], return_inverse=True)
-            own_row = once // max(1, len(unique))
-            number = np.arange(len(once)) - np.searchsorted(own_row, own_row)
-            flat = np.concatenate([*flat, -1 - number[which]]).astype(np.int32)
-            start, w = starts[word], widths[word]
-            start[places] = total + np.arange(len(places))
-            upto = np.concatenate([[0], np.cumsum(w)])
-            found = np.empty(upto[-1], np.int32)
-            for lo in range(0, len(word), CHUNK):
-                hi = min(lo + CHUNK, len(word))
-                found[upto[lo] : upto[hi]] = flat[_ranges(start[lo:hi], w[lo:hi])]
-            row_ends = pa.array(upto[np.concatenate([[0], np.cumsum(counts)])], pa.int32())
-            missing = lists.is_null()
-            own_words = _byte_ids(unique.take(pa.array(once % max(1, len(unique)))), code)
-            own_ends = pa.array(np.searchsorted(own_row, np.arange(len(counts) + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*others, pa.ListArray.from_arrays(row_ends, pa.array(found), mask=missing), pa.ListArray.from_arrays(own_ends, own_words, mask=missing)], names=[*b.schema.names[:-1], *names]
-            )
+            for k in range(0, b.num_rows, ROWS):  # memory follows this number, not the batch
+                yield convert(b.slice(k, ROWS))
 
     return run
 
 
-def _filled(ids: pa.Array, folded: pa.Array) -> pa.Array:
-    """``ids`` with the ids of the row's k-th word of ``folded`` in the place of -1 - k."""
-    own_words = folded.flatten()
-    if not len(own_words):
-        return ids
-    flat, counts = ids.flatten().to_numpy(zero_copy_only=False), _lengths(ids)
-    own, lens = own_words.flatten().to_numpy(zero_copy_only=False), _lengths(own_words)
-    begin, many = np.cumsum(lens) - lens, _lengths(folded)
-    places = np.flatnonzero(flat < 0)
-    row = np.searchsorted(np.cumsum(counts), places, "right")
-    k = (np.cumsum(many) - many)[row] - 1 - flat[places]
-    out, upto, at = [], 0, 0
-    for lo in range(0, len(places), CHUNK):
-        hi = min(lo + CHUNK, len(places))
-        end = len(flat) if hi == len(places) else places[hi]
-        part = flat[upto:end]
-        w = np.ones(len(part), np.int64)
-        w[places[lo:hi] - upto] = lens[k[lo:hi]]
-        made = np.repeat(part, w)
-        first = np.cumsum(w)[places[lo:hi] - upto] - lens[k[lo:hi]]
-        made[_ranges(first, lens[k[lo:hi]])] = own[_ranges(begin[k[lo:hi]], lens[k[lo:hi]])]
-        out.append(made)
-        upto = end
-    grown = counts + np.bincount(row, lens[k] - 1, len(counts)).astype(np.int64)
-    return pa.ListArray.from_arrays(_offsets(grown), pa.array(np.concatenate(out), pa.int32()), mask=ids.is_null())
-
-
-def _fill(name: str):
-    def run(batches):
-        for b in batches:
-            *others, ids, folded = b.columns
-            yield pa.RecordBatch.from_arrays([*others, _filled(ids, folded)], names=[*b.schema.names[:-2], name])
-
-    return run
-
-
-def _joined(pieces: pa.Array, tokens: pa.Array) -> pa.Array:
-    """The bytes of each row's ids, one after the other; null where an id is null or unknown."""
-    flat, counts = tokens.flatten(), _lengths(tokens)
-    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces)))
-    found = pieces.take(pc.if_else(pc.fill_null(known, False), flat, pa.scalar(None, flat.type)))
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    lost = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])[ends]
-    null = (np.diff(lost) > 0) | tokens.is_null().to_numpy(zero_copy_only=False)
-    # the pieces lie one after the other already
-    found = pa.concat_arrays([found, pa.array([b""], pa.binary())])
-    upto = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found)][ends]
-    valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(tokens), [valid, pa.py_buffer(upto.astype(np.int32).tobytes()), found.buffers()[2]])
-
-
 def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", max_words: int = 400_000, fold_bytes: int = 128) -> pa.Table:
     """(word, ids) of the most frequent words, ``max_words`` at most, of two or more occurrences.
 
@@ -323,7 +276,7 @@ def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", m
     bound decides about speed and not about results.
     """
     counts = materialise(
-        docs.where(F.col(f"`{text}`").isNotNull()).select(words(F.col(f"`{text}`")).alias("w")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
+        docs.where(col(text).isNotNull()).select(words(col(text)).alias("w")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
         "bpe-words",
     ).where((F.octet_length("word") <= fold_bytes) & (F.col("n") > 1))
     per = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
@@ -334,7 +287,7 @@ def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", m
             least = n + 1
             break
     frequent = counts.where(F.col("n") >= least).select("word").repartition(2 * default_parallelism(docs.sparkSession))
-    started = frequent.mapInArrow(_starts(np.array(vocabulary.bytes)), "word string, start array<bigint>")
+    started = frequent.mapInArrow(_starts(vocabulary.tables()), "word string, start array<bigint>")
     return started.select("word", vocabulary.fold(F.col("start")).alias("ids")).toArrow()
 
 
@@ -361,17 +314,19 @@ def encode(
     width = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     known = pa.concat_arrays(table["word"].cast(pa.string()).chunks) if table.num_rows else pa.array([], pa.string())
     held = spark.sparkContext.broadcast(
-        (known, np.cumsum(width) - width, width, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), vocabulary.ranks, vocabulary.pairs, np.array(vocabulary.bytes))
+        (known, np.cumsum(width) - width, width, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), vocabulary.ranks, vocabulary.pairs, vocabulary.tables())
     )  # max_words words
     columns = [c for c in docs.columns if c.lower() != name.lower()]
-    split, ids, unknown = fresh(columns, "split", "ids", "unknown")
-    said = docs.select(*(F.col(f"`{c}`") for c in columns), words(F.col(f"`{text}`")).alias(split))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in said.schema.fields[:-1])
-    found = said.mapInArrow(_lookup(held, fold_bytes, (ids, unknown)), f"{kinds}`{ids}` array<int>, `{unknown}` array<array<bigint>>")
+    segments, unknown = fresh(columns, "segments", "unknown")
+    # mapInArrow takes no names with dots, so columns go by number
+    said = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(columns)), words(col(text)).alias("split"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in said.schema.fields[:-1])
+    found = said.mapInArrow(_lookup(held, fold_bytes, (segments, unknown)), f"{kinds}{segments} array<struct<known: array<int>, word: int>>, {unknown} array<array<bigint>>")
+
+    def filled(folded: Column) -> Column:
+        return F.flatten(F.transform(segments, lambda s: F.when(s["word"] < 0, s["known"]).otherwise(F.concat(s["known"], F.get(folded, s["word"])))))
 
-    folded = found.select(*(F.col(f"`{c}`") for c in [*columns, ids]), F.transform(F.col(unknown), vocabulary.fold).alias(unknown))
-    # not as a UDF: its extraction fails on arguments with nested lambdas
-    return folded.mapInArrow(_fill(name), f"{kinds}`{name}` array<int>")
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), let(F.transform(unknown, vocabulary.fold), filled).alias(name))
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", name: str = "text") -> DataFrame:
@@ -381,11 +336,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", name
     makes the whole text null. Repeated rows get the same text; an empty table gives an empty one. A
     column called ``name`` is replaced; others pass unchanged.
     """
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces)
-
-    def join(tokens):
-        return _joined(held.value, tokens)
-
-    join.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
-    text = F.arrow_udf(join, "binary")(F.col(f"`{tokens}`")).cast("string")
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()), text.alias(name))
+    pieces = F.from_json(F.lit(vocabulary.pieces), "array<binary>").cast("array<string>")  # bytes as they are
+    known = F.transform(col(tokens), lambda t: F.get(pieces, t))
+    text = let(known, lambda found: F.when(~F.exists(found, lambda p: p.isNull()), F.array_join(found, "")))
+    return docs.select(*(col(c) for c in docs.columns if c.lower() != name.lower()), text.alias(name))
