@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockml.session import fresh
+from blockml.session import col, fresh
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CAPITALS, AGAIN = "\x01", "\x02"
@@ -32,8 +32,18 @@ def grams(text: str) -> set:
     return out
 
 
-def fit(texts: list[str], bad: np.ndarray, min_df: int = 3, alpha: float = 1.0, C: float = 0.1, epochs: int = 20, seed: int = 0) -> dict:
+def fit(texts: list[str], bad: np.ndarray, min_df: int = 3, alpha: float = 1.0, C: float = 1.0, epochs: int = 20, seed: int = 0) -> dict:
     """Weights by n-gram, and under None the intercept; a positive sum means ``bad``."""
+    return solve(texts, bad, min_df, alpha, C, epochs, seed)[0]
+
+
+def solve(texts: list[str], bad: np.ndarray, min_df: int = 3, alpha: float = 1.0, C: float = 1.0, epochs: int = 20, seed: int = 0) -> tuple[dict, dict]:
+    """The model, and what it was solved from: rows (n-gram numbers), their scale, ratio, y, cost, the dual
+    variables a, weights w and intercept b of the scaled features.
+
+    Minimises (|w|^2 + b^2) / 2 + sum of cost * max(0, 1 - y (w x + b s)) over rows x of unit length with
+    a constant feature; a row's cost is ``C`` times what evens out the classes.
+    """
     sets = [grams(t) for t in texts]
     df: dict = {}
     for s in sets:
@@ -50,7 +60,6 @@ def fit(texts: list[str], bad: np.ndarray, min_df: int = 3, alpha: float = 1.0,
     # dual coordinate descent for the L1 hinge loss; one extra constant feature; rows of unit length
     scale = [1 / max(1e-12, np.sqrt((ratio[r] ** 2).sum() + 1)) for r in rows]
     cost = C * np.where(bad, len(y) / max(1, 2 * bad.sum()), len(y) / max(1, 2 * (~bad).sum()))
-    cost *= 10
     w, b, a = np.zeros(len(vocabulary)), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -71,7 +80,7 @@ def fit(texts: list[str], bad: np.ndarray, min_df: int = 3, alpha: float = 1.0,
     weight = w * ratio
     model = {g: float(weight[i]) for g, i in vocabulary.items() if weight[i] != 0}
     model[None] = float(b)
-    return model
+    return model, {"vocabulary": vocabulary, "rows": rows, "scale": np.array(scale), "ratio": ratio, "y": y, "cost": cost, "a": a, "w": w, "b": b}
 
 
 def score(text: str, model: dict) -> float:
@@ -129,7 +138,11 @@ class _Numbers(dict):
 
 
 def training_rows(spark: SparkSession, sf_dir: str, label: str, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` labelled texts, those with the smallest hash of doc_id, and their labels."""
+    """At most ``max_rows`` labelled texts, those with the smallest hash of doc_id, and their labels.
+
+    Null keys, labels and texts are left out. Of labels that repeat a key the largest counts, of texts the
+    first in order. Without labels, or documents that have them, there are no texts.
+    """
     labels = (
         spark.read.parquet(f"{sf_dir}/labels.parquet")
         .where(f"doc_id IS NOT NULL AND {label} IS NOT NULL")
@@ -147,7 +160,9 @@ def training_rows(spark: SparkSession, sf_dir: str, label: str, max_rows: int) -
 def with_score(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the model's score of ``text`` (positive: low quality); null text scores null.
 
-    A column called ``name`` is replaced; other columns pass unchanged.
+    The whole text counts; a text without a known n-gram scores the intercept. Repeated rows get the same
+    score each; an empty table gives an empty one. A column called ``name`` is replaced; other columns pass
+    unchanged.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training rows
 
@@ -157,7 +172,7 @@ def with_score(docs: DataFrame, model: dict, text: str = "text", name: str = "sc
             yield texts.map(scorer, na_action="ignore").astype("float64")
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text)))
+    return docs.select(*(col(c) for c in docs.columns if c.lower() != name.lower()), F.pandas_udf(run, "double")(col(text)).alias(name))
 
 
 def fit_on_labels(spark: SparkSession, sf_dir: str, max_rows: int = 3000) -> dict:
@@ -179,4 +194,4 @@ def reject_low_quality(docs: DataFrame, model: dict, text: str = "text") -> Data
     """
     (s,) = fresh(docs.columns, "score")
     scored = with_score(docs, model, text, s)
-    return scored.where((F.col(s) <= 0) & F.col(text).rlike(r"\S")).select(*docs.columns)
+    return scored.where((F.col(s) <= 0) & col(text).rlike(r"\S")).select(*map(col, docs.columns))

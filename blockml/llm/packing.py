@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockml.session import col
+
 PLAN = "length int, rank_from long, rank_to long, first_bin long, per_bin int, offset int"
 
 
@@ -92,16 +94,19 @@ def pack(
     ``length`` is by default the text's UTF-8 bytes, the tokens of a byte-level vocabulary.
     Documents of null, zero or negative length have nothing to pack and give no row; an empty
     table gives none. Repeated rows and repeated keys are packed as often as they occur; null
-    keys are packed too. Extra columns are left out.
+    keys are packed too. Extra columns are left out, so none can clash, but a ``key`` with the name of
+    another column of the result raises ValueError.
 
     Ranks come from a window over (length, run of ``rank_span`` keys) plus the counts of earlier
     runs, so one frequent length is not one task.
     """
+    if key.lower() in ("piece", "start", "length", "bin_id", "offset"):
+        raise ValueError(f"the key can't be called {key}")
     spark = docs.sparkSession
     size = (F.octet_length(F.col("text")) if length is None else length).cast("long")
     numeric = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     run = F.floor(F.col("key") / rank_span) if numeric else F.pmod(F.xxhash64("key"), F.lit(1024))
-    sized = docs.select(F.col(key).alias("key"), size.alias("n")).where("n > 0")
+    sized = docs.select(col(key).alias("key"), size.alias("n")).where("n > 0")
     pieces = sized.select(
         "key",
         "n",

@@ -3,7 +3,9 @@
 A word is the bag of its character n-grams (with word-boundary marks), hashed into buckets that
 each have a vector. The vectors of a window of words are averaged and go into a softmax over
 (clean, toxic); vectors and softmax are trained jointly in numpy, so a misspelt word scores by
-the n-grams that it shares with known ones. A document is as toxic as its most toxic window.
+the n-grams that it shares with known ones. A document is as toxic as its most toxic window. The
+mean of a window of fewer than ``floor`` n-grams is that of as many, the lacking ones being zero
+vectors: a few n-grams alone are weak evidence.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockml.llm.nbsvm import training_rows
-from blockml.session import fresh
+from blockml.session import col, fresh
 
 WORD = re.compile(r"\w+")
 
@@ -66,6 +68,23 @@ def said_once(ids: np.ndarray) -> np.ndarray:
     return ids[np.concatenate([[True], ids[1:] != ids[:-1]])] if len(ids) else ids
 
 
+def gradients(E: np.ndarray, S: np.ndarray, c: np.ndarray, idx: np.ndarray, share: np.ndarray, row: np.ndarray, marks: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the weighted mean cross entropy of softmax(mean of embeddings S + c) over a batch: by the used
+    buckets (and which they are), by S and by c. Row r is the mean of E[idx] by ``share`` where ``row`` is r."""
+    size = len(marks)
+    used = np.flatnonzero(np.bincount(idx, minlength=len(E)))
+    # one softmax error for each row, spread by share
+    h = np.stack([np.bincount(row, E[idx, q] * share, size) for q in range(E.shape[1])], 1)
+    z = h @ S + c
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(size), marks.astype(int)] -= 1
+    g = (p * weight[:, None] / size).astype(E.dtype)
+    error = g[:, 1]  # that of the other class is its negative
+    spread = np.bincount(idx, error[row] * share, len(E))[used].astype(E.dtype)
+    return used, spread[:, None] * (S[:, 1] - S[:, 0])[None, :], h.T @ g, g.sum(axis=0)
+
+
 def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int = 4, window: int = 60, epochs: int = 4, rounds: int = 12, rate: float = 0.03, decay: float = 3e-6, floor: int = 400, batch_size: int = 128, seed: int = 0) -> dict:
     """The trained model. Round 1 trains on whole documents; later rounds stand a document's most
     toxic window in for it, which is what scoring uses."""
@@ -122,20 +141,11 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
                 share = np.concatenate([t[1] for t in taken])
                 lens = np.array([len(t[0]) for t in taken])
                 row = np.repeat(np.arange(len(batch)), lens)
-                used = np.flatnonzero(np.bincount(idx, minlength=buckets))
-                # gradient of the mean: one softmax error for each row, spread by share
-                h = np.stack([np.bincount(row, E[idx, q] * share, len(batch)) for q in range(dim)], 1)
-                z = h @ S + c
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(batch)), marks[batch].astype(int)] -= 1
-                g = (p * weight[batch][:, None] / len(batch)).astype(np.float32)
-                error = g[:, 1]  # that of the other class is its negative
-                spread = np.bincount(idx, error[row] * share, buckets)[used].astype(np.float32)
-                gE = spread[:, None] * (S[:, 1] - S[:, 0])[None, :] + decay * E[used]
+                used, gE, gS, gc = gradients(E, S, c, idx, share, row, marks[batch], weight[batch])
+                gE = gE + decay * E[used]
                 steps += 1
                 fix = np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-                for x, gx, sel, (m, v) in ((E, gE, used, state[0:2]), (S, h.T @ g, slice(None), state[2:4]), (c, g.sum(axis=0), slice(None), state[4:6])):
+                for x, gx, sel, (m, v) in ((E, gE, used, state[0:2]), (S, gS, slice(None), state[2:4]), (c, gc, slice(None), state[4:6])):
                     m[sel] = 0.9 * m[sel] + 0.1 * gx
                     v[sel] = 0.999 * v[sel] + 0.001 * gx**2
                     x[sel] -= rate * fix * m[sel] / (np.sqrt(v[sel]) + 1e-10)
@@ -191,7 +201,8 @@ def with_toxicity(docs: DataFrame, model: dict | None, text: str = "text", name:
     """``docs`` with the log-odds of being toxic (positive: toxic).
 
     Null texts score null. Texts without a word, and all texts under no model, score -infinity.
-    A column called ``name`` is replaced; other columns pass unchanged.
+    The whole text counts. Repeated rows get the same score each; an empty table gives an empty one. A
+    column called ``name`` is replaced; other columns pass unchanged.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: one number a bucket
     token = uuid.uuid4().hex
@@ -209,7 +220,7 @@ def with_toxicity(docs: DataFrame, model: dict | None, text: str = "text", name:
             yield pd.Series(out).astype("Float64").mask(~pd.Series(there))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col(text)))
+    return docs.select(*(col(c) for c in docs.columns if c.lower() != name.lower()), F.pandas_udf(run, "double")(col(text)).alias(name))
 
 
 def reject_toxic(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
@@ -218,4 +229,4 @@ def reject_toxic(docs: DataFrame, model: dict | None, text: str = "text") -> Dat
     Repeated rows get the same verdict each; empty tables give empty tables.
     """
     (s,) = fresh(docs.columns, "toxicity")
-    return with_toxicity(docs, model, text, s).where(F.coalesce(F.col(s) <= 0, F.lit(True))).select(*docs.columns)
+    return with_toxicity(docs, model, text, s).where(F.coalesce(F.col(s) <= 0, F.lit(True))).select(*map(col, docs.columns))

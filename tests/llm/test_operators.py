@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockml.llm import bpe, langid, nbsvm, quality_rules, toxicity, warc
-from blockml.llm.exact_dedup import exact_dedup
+from blockml.llm.exact_dedup import exact_dedup, possibly_repeated
 from blockml.llm.jaccard_join import jaccard_join, keep_one_of_near, near_classes
 from blockml.llm.packing import best_fit_decreasing, pack, plan_best_fit
 from blockml.llm.sharding import brute_force, minimax_shards
@@ -163,9 +163,9 @@ def test_perfect_hash():
 
 
 def test_language_id(spark, odd, empty, clashing):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    profiles = langid.train(docs)
-    got = langid.identify(docs, profiles).where("n_chars >= 200").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = langid.train(docs.where("doc_id % 2 = 0"))
+    got = langid.identify(docs.where("doc_id % 2 = 1"), profiles).where("n_chars >= 200").collect()
     assert np.mean([r["predicted"] == r["lang"] for r in got]) > 0.95
     rank = langid.Ranker(profiles, 300)
     for r in got[:20]:
@@ -176,9 +176,54 @@ def test_language_id(spark, odd, empty, clashing):
     assert found[None] is None and found[""] is None and found["   \n"] is None
     assert langid.identify(empty, profiles).count() == 0 and langid.train(empty) == {}
     assert langid.identify(clashing, {}).where("predicted IS NULL").count() == 4
+    tie = langid.identify(odd, {"b": profiles["en"], "a": profiles["en"]}).where("predicted IS NOT NULL").collect()
+    assert tie and {r["predicted"] for r in tie} == {"a"}
 
 
-@pytest.mark.parametrize("megabytes", [64, 0])
+@pytest.fixture(scope="module")
+def dotted(spark):
+    """Names with dots, and those that operators use themselves."""
+    rows = [(i, t, "x", 1, "en", 2, 3) for i, t in enumerate(["one two three", "one two three", None, ""])]
+    return spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, __found int, lang string, `c.d.e` int, __h int")
+
+
+def test_names_with_dots_and_internal_names(spark, dotted, vocabulary):
+    names = dotted.columns
+    assert exact_dedup(dotted).columns == names and exact_dedup(dotted).count() == 3
+    assert keep_one_of_near(dotted).columns == names and keep_one_of_near(dotted).count() == 3
+    assert nbsvm.reject_low_quality(dotted, {None: -1.0}).columns == names and nbsvm.reject_low_quality(dotted, {None: -1.0}).count() == 2
+    assert toxicity.reject_toxic(dotted, None).columns == names and toxicity.reject_toxic(dotted, None).count() == 4
+    for made, more in (
+        (langid.identify(dotted, {}), ["predicted", "distance"]),
+        (quality_rules.judge(dotted, quality_rules.references(dotted)), ["class_distance", "word_distance", "kept"]),
+        (bpe.decode(bpe.encode(dotted, vocabulary), vocabulary, name="back"), ["tokens", "back"]),
+        (minimax_shards(dotted, 2), ["shard"]),
+    ):
+        assert made.columns == names + more and len(made.collect()) == 4
+    assert pack(dotted).count() == 2
+    with pytest.raises(ValueError, match="piece"):
+        pack(dotted.withColumnRenamed("doc_id", "piece"), key="piece")
+
+
+def test_exact_dedup_shuffles_only_suspected_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i // 2 if i < 10 else i}") for i in range(2000)], "doc_id long, text string")
+    got = exact_dedup(docs)
+    assert got.count() == 1995
+    suspects = possibly_repeated(docs, "text")
+    assert 5 <= suspects.count() < 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the only exchange that carries rows is that of the partial aggregate of the rows that hit the filter
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_dedup(docs, max_filter_mb=0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("megabytes", [256, 0.001, 0])
 def test_exact_dedup(spark, odd, empty, clashing, megabytes):
     kept = exact_dedup(odd, max_filter_mb=megabytes).collect()
     texts = [r["text"] for r in odd.collect()]
@@ -215,7 +260,7 @@ def test_sharding(spark, odd, empty, clashing):
     sizes = [rng.choice([0, 1, 5, 80, 300]) for _ in range(150)]
     df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "doc_id long, text string")
     for n in (1, 4, 7, 200):
-        got = [r["shard"] for r in minimax_shards(df, n, block_rows=7).orderBy("doc_id").collect()]
+        got = [r["shard"] for r in minimax_shards(df, n, block_rows=7, coarse=4).orderBy("doc_id").collect()]
         assert got == brute_force(sizes, n)
     shards = minimax_shards(odd, 3).collect()
     assert len({r["shard"] for r in shards if r["doc_id"] == 1}) == 1 and {r["shard"] for r in shards if r["doc_id"] is None} == {0}
@@ -239,6 +284,27 @@ def test_quality_classifier(spark, odd, empty, clashing):
     assert (got == (truth == 0)).mean() > 0.9
     fast = nbsvm.Scorer(model)
     np.testing.assert_allclose([fast(t) for t in held[:50]], [nbsvm.score(t, model) for t in held[:50]], atol=1e-9)
+    _, s = nbsvm.solve(texts, y == 0, epochs=200)
+    # log-count ratios by counting
+    sets = [nbsvm.grams(t) for t in texts]
+    counts = [defaultdict(lambda: 1.0) for _ in (0, 1)]
+    for found, label in zip(sets, y):
+        for g in found & s["vocabulary"].keys():
+            counts[int(label == 0)][g] += 1
+    totals = [sum(c[g] for g in s["vocabulary"]) for c in counts]
+    want = [np.log(counts[1][g] / totals[1] / (counts[0][g] / totals[0])) for g in s["vocabulary"]]
+    np.testing.assert_allclose(s["ratio"], want, atol=1e-9)
+    # the dual solution is feasible, gives the weights, and closes the gap to the primal problem
+    x = np.zeros((len(texts), len(want) + 1))
+    for i, (row, scale) in enumerate(zip(s["rows"], s["scale"])):
+        x[i, row], x[i, -1] = s["ratio"][row] * scale, scale
+    np.testing.assert_allclose((x**2).sum(axis=1), 1)
+    assert (s["a"] >= 0).all() and (s["a"] <= s["cost"] + 1e-12).all()
+    w = np.append(s["w"], s["b"])
+    np.testing.assert_allclose(x.T @ (s["a"] * s["y"]), w, atol=1e-8)
+    primal = w @ w / 2 + (s["cost"] * np.maximum(0, 1 - s["y"] * (x @ w))).sum()
+    dual = s["a"].sum() - w @ w / 2
+    assert 0 <= primal - dual <= 1e-2 * primal
     rows = {r["doc_id"]: r["score"] for r in nbsvm.with_score(odd, model).collect()}
     assert rows[3] is None and rows[4] == model[None]
     assert {3, 4, 5, 8}.isdisjoint(r["doc_id"] for r in nbsvm.reject_low_quality(odd, {None: -1.0}).collect())
@@ -246,6 +312,59 @@ def test_quality_classifier(spark, odd, empty, clashing):
     assert nbsvm.reject_low_quality(clashing, {None: -1.0}).columns == clashing.columns
 
 
+def test_classifiers_without_labels(spark, tmp_path, odd):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    for rows in ([], [(1, 1, 0), (2, 1, 0), (None, 0, 1), (3, None, None)]):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        assert nbsvm.fit_on_labels(spark, str(tmp_path)) == {None: -1.0} and toxicity.fit_on_labels(spark, str(tmp_path)) is None
+
+
+def test_toxicity_gradients():
+    """The joint gradient of embeddings and softmax against differences."""
+    rng = np.random.default_rng(0)
+    E, S, c = rng.normal(size=(12, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    row, idx = np.repeat(np.arange(5), 4), rng.integers(0, 10, 20)
+    share, marks, weight = rng.random(20), np.array([0.0, 1, 1, 0, 1]), rng.random(5) + 0.5
+
+    def loss():
+        z = np.stack([(E[idx[row == r]] * share[row == r, None]).sum(0) for r in range(5)]) @ S + c
+        return (weight * (np.log(np.exp(z).sum(1)) - z[np.arange(5), marks.astype(int)])).mean()
+
+    used, gE, gS, gc = toxicity.gradients(E, S, c, idx, share, row, marks, weight)
+    whole = np.zeros_like(E)
+    whole[used] = gE
+    for x, g in ((E, whole), (S, gS), (c, gc)):
+        for at in np.ndindex(x.shape):
+            old = x[at]
+            x[at] = old + 1e-5
+            up = loss()
+            x[at] = old - 1e-5
+            down = loss()
+            x[at] = old
+            np.testing.assert_allclose(g[at], (up - down) / 2e-5, atol=1e-7)
+
+
+def test_toxicity_scores_equal_brute_force():
+    rng = random.Random(4)
+    model = {"gain": np.random.default_rng(1).normal(size=256), "bias": -0.1, "window": 10, "buckets": 256, "floor": 40}
+    texts = ["", "a", "same same same", *(words(rng, n) for n in (5, 14, 15, 40, 200))]
+
+    def brute(text):
+        said = re.findall(r"\w+", text.lower())
+        said = [w for i, w in enumerate(said) if not i or said[i - 1] != w]
+        if not said:
+            return float("-inf")
+        best = []
+        for i, j in toxicity.windows(len(said), 10):
+            bags = [toxicity.subwords([w], 256)[0] for w in said[i:j]]
+            best.append(sum(model["gain"][b].sum() for b in bags) / max(40, sum(map(len, bags))))
+        return max(best) - 0.1
+
+    np.testing.assert_allclose(toxicity.Scorer(model)(texts), [brute(t) for t in texts])
+    spans = toxicity.windows(200, 10)
+    assert spans[0][0] == 0 and spans[-1][1] == 200 and all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_toxicity(spark, odd, empty, clashing):
     texts, y, held, truth = _split(spark, "toxic", 3000)
     model = toxicity.fit(texts, y == 1)
@@ -295,6 +414,23 @@ def test_warc_damage(spark, tmp_path):
     assert warc.parse(head + b"text\r\n\r\n")["status"] == "bad_digest"
     assert warc.parse(head + b"tex\r\n\r\n")["status"] == "bad_length"
     assert warc.parse(b"HTTP\r\n\r\n")["status"] == "bad_header"
+    # after damage, reading goes on at the next gzip header
+    flipped = bytearray(warc.record(2, "u", "text " * 50, "d"))
+    flipped[40] ^= 0xFF
+    path.write_bytes(good + bytes(flipped) + b"no gzip at all" + warc.record(3, "u", "third", "d") + good[:20] + warc.record(4, "u", "fourth", "d"))
+    got = [(r["page_id"], r["status"]) for r in warc.read_warc(spark, [f"file://{path}"]).collect()]
+    assert [g for g in got if g[1] == "ok"] == [(1, "ok"), (3, "ok"), (4, "ok")] and {g[1] for g in got} == {"ok", "corrupt"}
+    path.write_bytes(b"plain text" * 10)
+    assert [r["status"] for r in warc.read_warc(spark, [f"file://{path}"]).collect()] == ["corrupt"]
+
+
+@pytest.mark.parametrize("lines", ["X: \xff", "WARC-Record-ID: <urn:page:abc>", "X-Target-URI: {no json", "X-Target-URI: 3", "WARC-Record-ID: <urn:page:99999999999999999999>", "Content-Length: \xb2"])
+def test_warc_headers_that_cannot_be_read(lines):
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 4\r\n{lines}\r\n\r\n".encode("latin-1" if "\xff" in lines else "utf-8")
+    assert warc.parse(head + b"text\r\n\r\n") == {"status": "bad_header"}
+    foreign = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nContent-Length: 4\r\n\r\ntext\r\n\r\n"
+    got = warc.parse(foreign)
+    assert (got["page_id"], got["html"], got["status"]) == (None, "text", "no_digest")
 
 
 @pytest.mark.parametrize("algorithm", ["sha1", "SHA1", "Sha-1", "sha256", "sha-512", "md5", "sha3-256", "blake2b"])
