@@ -155,7 +155,7 @@ def array_flatten(spark, sf_dir):
     return arrays.flatten(_embeddings(spark, sf_dir)).select("row_id", "feature", _round("value"))
 
 
-_GRID = "SELECT vec_id AS row_id, unnest(range(len(embedding) // 4 * 4)) AS at, unnest(embedding[:len(embedding) // 4 * 4])::DOUBLE AS v FROM embeddings"
+_GRID = "SELECT vec_id AS row_id, unnest(range(len(embedding) // 4 * 4)) AS i, unnest(embedding[:len(embedding) // 4 * 4])::DOUBLE AS v FROM embeddings"
 
 
 def _grid(spark, sf_dir) -> DataFrame:
@@ -164,17 +164,17 @@ def _grid(spark, sf_dir) -> DataFrame:
     return _embeddings(spark, sf_dir).select("row_id", rows.alias("X"))
 
 
-@query("array_nested_sum_axis1", f"SELECT row_id, (at % 4)::INTEGER AS feature, round(sum(v), 6) AS value FROM ({_GRID}) GROUP BY 1, 2")
+@query("array_nested_sum_axis1", f"SELECT row_id, (i % 4)::INTEGER AS feature, round(sum(v), 6) AS value FROM ({_GRID}) GROUP BY 1, 2")
 def array_nested_sum_axis1(spark, sf_dir):
     return arrays.reduce(_grid(spark, sf_dir), "sum", 1).select("row_id", F.posexplode("value").alias("feature", "value")).select("row_id", "feature", _round("value"))
 
 
-@query("array_nested_max_axis2", f"SELECT row_id, (at // 4)::INTEGER AS feature, round(max(v), 6) AS value FROM ({_GRID}) GROUP BY 1, 2")
+@query("array_nested_max_axis2", f"SELECT row_id, (i // 4)::INTEGER AS feature, round(max(v), 6) AS value FROM ({_GRID}) GROUP BY 1, 2")
 def array_nested_max_axis2(spark, sf_dir):
     return arrays.reduce(_grid(spark, sf_dir), "max", 2).select("row_id", F.posexplode("value").alias("feature", "value")).select("row_id", "feature", _round("value"))
 
 
-@query("array_nested_mean_axis0", f"SELECT (at // 4)::INTEGER AS feature0, (at % 4)::INTEGER AS feature1, round(avg(v), 6) AS value FROM ({_GRID}) GROUP BY 1, 2")
+@query("array_nested_mean_axis0", f"SELECT (i // 4)::INTEGER AS feature0, (i % 4)::INTEGER AS feature1, round(avg(v), 6) AS value FROM ({_GRID}) GROUP BY 1, 2")
 def array_nested_mean_axis0(spark, sf_dir):
     return arrays.reduce(_grid(spark, sf_dir), "mean", 0).select("feature0", "feature1", _round("value"))
 
