@@ -3,8 +3,8 @@
 The smallest shard capacity for which greedy filling needs at most ``n_shards`` shards is found
 by binary search; the cuts are those of the greedy filling at that capacity. The driver holds sums
 over consecutive groups, at first those of ``coarse`` stretches at most, and decides most capacities
-from these alone. Only a stretch in which a cut may fall is read more finely: as blocks, and then
-group by group.
+from these alone. Only stretches in which a cut may fall are read more finely, as ``FAN`` parts each, down
+to blocks of a few groups and then the groups, so what it reads at once does not follow the input.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from blockml.session import col, fresh, materialise
 
-GROUP = 2  # the level of single groups; 0: stretches of blocks, 1: blocks
+FAN = 32
+GROUP = -1  # the level of single groups; a segment of level d is FAN ** d blocks
+LOW = (1 << 32) - 1
 
 
 def _number_blocks(block_rows: int):
@@ -37,10 +39,11 @@ def _number_blocks(block_rows: int):
     return run
 
 
-def _within(name: str, wanted: list[int]) -> Column:
-    """``name`` is one of ``wanted``, as ranges, which Parquet statistics can prune by."""
-    runs = np.split(np.array(wanted), np.flatnonzero(np.diff(wanted) > 1) + 1)
-    terms = [F.col(name).between(int(r[0]), int(r[-1])) for r in runs]
+def _within(wanted: list[int], per: int) -> Column:
+    """``block`` is in one of the segments of ``per`` blocks, as ranges, which Parquet statistics can prune by."""
+    runs = np.split(np.array(wanted, np.int64), np.flatnonzero(np.diff(wanted) > 1) + 1)
+    first = lambda n: (int(n) & ~LOW) + (int(n) & LOW) * per
+    terms = [F.col("block").between(first(r[0]), first(r[-1]) + per - 1) for r in runs]
     while len(terms) > 1:  # a flat tree
         terms = [functools.reduce(operator.or_, terms[k : k + 2]) for k in range(0, len(terms), 2)]
     return terms[0]
@@ -50,9 +53,9 @@ class _Plan:
     """Consecutive segments of groups with their sums; ``fetch(level, names)`` gives the parts of
     segments, by name: sizes and names."""
 
-    def __init__(self, sums: np.ndarray, names: np.ndarray, fetch):
+    def __init__(self, sums: np.ndarray, names: np.ndarray, level: int, fetch):
         self.sums, self.names, self.fetch = sums, names.astype(object), fetch
-        self.level = np.zeros(len(sums), np.int8)
+        self.level = np.full(len(sums), level, np.int8)
         self._total()
 
     def _total(self):
@@ -63,15 +66,15 @@ class _Plan:
         """Puts their parts in the place of the segments ``want``."""
         want = sorted(set(want))
         parts: dict = {}
-        for level in (0, 1):
-            if names := [self.names[b] for b in want if self.level[b] == level]:
-                parts |= {(level, n): got for n, got in self.fetch(level, names).items()}
+        for level in {int(self.level[b]) for b in want}:
+            names = [self.names[b] for b in want if self.level[b] == level]
+            parts |= {(level, n): got for n, got in self.fetch(level, names).items()}
         pieces: list = [([], [], [])]
         last = 0
         for b in want:
             level = self.level[b]
             sums, names = parts[level, self.names[b]]
-            pieces += [(self.sums[last:b], self.names[last:b], self.level[last:b]), (sums, names, np.full(len(sums), level + 1, np.int8))]
+            pieces += [(self.sums[last:b], self.names[last:b], self.level[last:b]), (sums, names, np.full(len(sums), level - 1, np.int8))]
             last = b + 1
         pieces.append((self.sums[last:], self.names[last:], self.level[last:]))
         self.sums, self.names, self.level = np.concatenate([p[0] for p in pieces]).astype(np.int64), np.concatenate([np.asarray(p[1], object) for p in pieces]), np.concatenate([p[2] for p in pieces]).astype(np.int8)
@@ -144,7 +147,7 @@ def minimax_shards(
     n_shards: int = 64,
     key: str = "doc_id",
     size: Column | None = None,
-    block_rows: int = 1024,
+    block_rows: int = 32,
     coarse: int = 32_768,
 ) -> DataFrame:
     """``docs`` with a column ``shard`` (0, 1, ...): contiguous in ``key`` order, no group of
@@ -163,26 +166,33 @@ def minimax_shards(
     kind = groups.schema["key"].dataType.simpleString()
     order = F.col("key").asc_nulls_first()
     numbered = materialise(groups.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(_number_blocks(block_rows), f"key {kind}, size long, block long"), "shard-numbered")
-    blocks = materialise(numbered.groupBy("block").agg(F.sum("size").alias("s"), F.max("size").alias("m")), "shard-blocks")
+    blocks = materialise(numbered.groupBy("block").agg(F.sum("size").alias("s"), F.max("size").alias("m")).sort("block"), "shard-blocks")
     whole = blocks.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
     if not whole["n"]:
         return docs.drop("shard").withColumn("shard", F.lit(0))
-    per = -(-whole["n"] // coarse)
-    low_half = (1 << 32) - 1
-    stretch = F.col("block") - F.col("block").bitwiseAND(low_half) + F.floor(F.col("block").bitwiseAND(low_half) / per)
-    blocks = blocks.withColumn("stretch", stretch)
-    top = blocks.groupBy("stretch").agg(F.sum("s").alias("s")).orderBy("stretch").toArrow()  # coarse rows, and one a partition at most
+    depth = 0
+    while FAN**depth * coarse < whole["n"]:
+        depth += 1
+
+    def segment(level: int) -> Column:
+        low = F.col("block").bitwiseAND(LOW)
+        return (F.col("block") - low + F.floor(low / FAN**level)).alias("name")
+
+    def segments(rows: DataFrame, level: int) -> pa.Table:
+        return rows.groupBy(segment(level)).agg(F.sum("s").alias("s")).orderBy("name").toArrow()
 
     def fetch(level: int, wanted: list) -> dict:
         if level:
-            got = numbered.where(_within("block", wanted)).orderBy("block", order).select("block", "size", "key").toArrow()
+            got = segments(blocks.where(_within(wanted, FAN**level)), level - 1)
+            sums, names = got["s"].to_numpy(), got["name"].to_numpy()
+            at = (names & ~LOW) + (names & LOW) // FAN
         else:
-            got = blocks.where(_within("stretch", wanted)).orderBy("stretch", "block").select("stretch", "s", "block").toArrow()
-        at, sums, names = got.column(0).to_numpy(), got.column(1).to_numpy(), np.array([*got.column(2).to_pylist(), None], object)[:-1]
-        cut = [np.searchsorted(at, [w, w + 1]) for w in wanted]
-        return {w: (sums[i:j], names[i:j]) for w, (i, j) in zip(wanted, cut)}
+            got = numbered.where(_within(wanted, 1)).orderBy("block", order).select("block", "size", "key").toArrow()
+            at, sums, names = got["block"].to_numpy(), got["size"].to_numpy(), np.array([*got["key"].to_pylist(), None], object)[:-1]
+        return {w: (sums[i:j], names[i:j]) for w in wanted for i, j in [np.searchsorted(at, [w, w + 1])]}
 
-    plan = _Plan(top["s"].to_numpy().astype(np.int64), top["stretch"].to_numpy(), fetch)
+    top = segments(blocks, depth)  # coarse rows, and one more a partition at most
+    plan = _Plan(top["s"].to_numpy().astype(np.int64), top["name"].to_numpy(), depth, fetch)
     total = int(plan.ends[-1])
     low = max(whole["m"], -(-total // n_shards))
     high = min(total, -(-total // n_shards) + low)

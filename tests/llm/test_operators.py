@@ -260,7 +260,7 @@ def test_sharding(spark, odd, empty, clashing):
     sizes = [rng.choice([0, 1, 5, 80, 300]) for _ in range(150)]
     df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "doc_id long, text string")
     for n in (1, 4, 7, 200):
-        got = [r["shard"] for r in minimax_shards(df, n, block_rows=7, coarse=4).orderBy("doc_id").collect()]
+        got = [r["shard"] for r in minimax_shards(df, n, block_rows=2, coarse=2).orderBy("doc_id").collect()]
         assert got == brute_force(sizes, n)
     shards = minimax_shards(odd, 3).collect()
     assert len({r["shard"] for r in shards if r["doc_id"] == 1}) == 1 and {r["shard"] for r in shards if r["doc_id"] is None} == {0}
