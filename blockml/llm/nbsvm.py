@@ -21,12 +21,25 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 CAPITALS, AGAIN = "\x01", "\x02"
 
 
+_LOW = (1 << 32) - 1
+
+
+def _marks(text: str) -> list[str]:
+    """A text's surface tokens, with marks for words in capitals and repeated ones."""
+    words = TOKEN.findall(text)
+    return [CAPITALS if w.isupper() and len(w) > 1 else AGAIN if w == v else w for v, w in zip([None, *words], words)]
+
+
+def _coded(text: str, numbers: dict[str, int]) -> np.ndarray:
+    """The grams as sorted numbers: a token's own, or in the upper half one more than the first one's."""
+    marks = _marks(text)
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in marks), np.int64, len(marks))
+    return np.unique(np.concatenate([ids, (ids[:-1] + 1) << 32 | ids[1:]]))
+
+
 def grams(text: str) -> set:
     """Distinct unigrams and bigrams of a text's surface tokens."""
-    words = TOKEN.findall(text)
-    if not words:
-        return set()
-    marks = [CAPITALS if w.isupper() and len(w) > 1 else AGAIN if w == v else w for v, w in zip([None, *words], words)]
+    marks = _marks(text)
     out = set(marks)
     out.update(zip(marks, marks[1:]))
     return out
@@ -44,13 +57,17 @@ def solve(texts: list[str], bad: np.ndarray, min_df: int = 3, alpha: float = 1.0
     Minimises (|w|^2 + b^2) / 2 + sum of cost * max(0, 1 - y (w x + b s)) over rows x of unit length with
     a constant feature; a row's cost is ``C`` times what evens out the classes.
     """
-    sets = [grams(t) for t in texts]
-    df: dict = {}
-    for s in sets:
-        for g in s:
-            df[g] = df.get(g, 0) + 1
-    vocabulary = {g: i for i, g in enumerate(g for g, c in df.items() if c >= min_df)}
-    rows = [np.array(sorted(vocabulary[g] for g in s if g in vocabulary), np.int64) for s in sets]
+    numbers: dict[str, int] = {}
+    coded = [_coded(t, numbers) for t in texts]  # as numbers: sets of tuples take ten times the memory
+    codes, df = np.unique(np.concatenate([np.zeros(0, np.int64), *coded]), return_counts=True)
+    codes = codes[df >= min_df]
+    rows = []
+    for c in coded:
+        at = np.searchsorted(codes, c)
+        rows.append(at[(at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == c)] if len(codes) else at[:0])
+    words = list(numbers)
+    vocabulary = {(words[c & _LOW] if c <= _LOW else (words[(c >> 32) - 1], words[c & _LOW])): i for i, c in enumerate(codes.tolist())}
+    del coded, numbers, words
     y = np.where(bad, 1.0, -1.0)
     count = np.zeros((2, len(vocabulary)))
     for r, b in zip(rows, bad):
