@@ -13,7 +13,8 @@ from blockml.operators.base import positions
 
 class Dataset:
     """``df`` in the order of ``key``, cut into ``partitions`` equal runs of rows and these into
-    blocks of ``block_size`` rows (None: one block a run). Everything is lazy."""
+    blocks of ``block_size`` rows (None: one block a run). Lazy, but for the counts that block numbers need
+    and, where keys lie far apart, the numbering of rows."""
 
     def __init__(self, df: DataFrame, key: str = "row_id", block_size: int | None = None, partitions: int = 1):
         if key not in df.columns:
