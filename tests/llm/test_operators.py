@@ -103,6 +103,8 @@ def test_jaccard_join_equals_brute_force(spark, threshold):
     assert {(r["doc_a"], r["doc_b"], r["overlap"]) for r in got} == brute_jaccard(rows, 3, threshold) and len(got) == len({(r[0], r[1]) for r in got})
     classes = near_classes(df, threshold=threshold).where("doc_id IS NOT NULL").collect()
     assert sorted(map(tuple, classes)) == brute_classes(rows, 3, threshold)
+    if threshold != 0.5:
+        return
     # keys of another type, a name with a dot
     named = spark.createDataFrame([(f"k{k:03}" if k is not None else None, t) for k, t in rows], "`doc.id` string, text string")
     found = near_classes(named, threshold=threshold, key="doc.id").collect()
