@@ -93,11 +93,12 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
     docs = []
     for t in texts:
         words = WORD.findall(t.lower())
-        docs.append(said_once(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)))
+        docs.append(said_once(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)))
     words = list(numbers)
     pieces = [subwords(words[k : k + 50_000], buckets) for k in range(0, max(1, len(words)), 50_000)]
     flat = np.concatenate([p[0].astype(np.int32) for p in pieces])
     width = np.concatenate([p[1] for p in pieces])
+    del numbers, words, pieces
     begin = np.cumsum(width) - width
     y = toxic.astype(np.float64)
     E = rng.normal(0, 1e-3, (buckets, dim)).astype(np.float32)
@@ -118,6 +119,7 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
             gain = (E @ (S[:, 1] - S[:, 0]))[flat]
             total = np.concatenate([[0], np.cumsum(gain)])
             per_word = total[begin + width] - total[begin]
+            del gain, total
             chosen = []
             for d in docs:
                 s, n = np.concatenate([[0], np.cumsum(per_word[d])]), np.concatenate([[0], np.cumsum(width[d])])
@@ -131,12 +133,11 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
         else:
             chosen, marks = docs, y
         weight = np.where(marks == 1, len(marks) / max(1, 2 * marks.sum()), len(marks) / max(1, 2 * (marks == 0).sum()))
-        parts = [bag(d) for d in chosen] if round_ else None  # whole documents one batch at a time
         for _ in range(2 if round_ else epochs):
             order = rng.permutation(len(chosen))
             for k in range(0, len(order), batch_size):
                 batch = order[k : k + batch_size]
-                taken = [parts[i] if round_ else bag(chosen[i]) for i in batch]
+                taken = [bag(chosen[i]) for i in batch]  # a batch at a time, for the driver's memory
                 idx = np.concatenate([t[0] for t in taken])
                 share = np.concatenate([t[1] for t in taken])
                 lens = np.array([len(t[0]) for t in taken])
