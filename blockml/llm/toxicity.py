@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,10 @@ from blockml.llm.nbsvm import training_rows
 from blockml.session import col, fresh
 
 WORD = re.compile(r"\w+")
+#: Characters whose n-grams are held at once when texts are scored, which takes some 200 bytes each.
+PIECE = 1 << 17
+#: Characters of texts that are scored at once.
+AT_ONCE = 1 << 22
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,19 +36,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _longer(h: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of ``c`` from those of its (n - 1)-grams."""
+    return h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
+
+
 def subwords(words: list[str], buckets: int, low: int = 3, high: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' character n-grams, word by word, and how many each word has."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = "".join([f"<{w}>" for w in words])
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    c = _code_points("".join([f"<{w}>" for w in words]))
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # characters from here to the word's end
     h = np.zeros(len(c), np.uint64)
     at, found = [], []
     for n in range(1, high + 1):
-        h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
+        h = _longer(h, c, n)
         if n >= low:
             ok = np.flatnonzero(left[: len(h)] >= n)
             at.append(owner[ok])
@@ -54,6 +66,49 @@ def subwords(words: list[str], buckets: int, low: int = 3, high: int = 6) -> tup
     return np.concatenate(found)[order], np.bincount(at, minlength=len(words))
 
 
+def stretches(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges that cover all items in order, of at most ``most`` in sum, or of one item."""
+    begin = end = held = 0
+    for n in sizes:
+        if end > begin and held + n > most:
+            yield begin, end
+            begin, held = end, 0
+        end, held = end + 1, held + n
+    if end > begin:
+        yield begin, end
+
+
+def _of_long(word: str, buckets: int, low: int = 3, high: int = 6) -> Iterator[np.ndarray]:
+    """The buckets of one word in the order of ``subwords``, a piece of the word at a time."""
+    text = f"<{word}>"
+    for n in range(low, high + 1):
+        for k in range(0, len(text) - n + 1, PIECE):
+            c = _code_points(text[k : k + PIECE + n - 1])
+            h = np.zeros(len(c), np.uint64)
+            for m in range(1, n + 1):
+                h = _longer(h, c, m)
+            yield (mix(h) % np.uint64(buckets)).astype(np.int64)
+
+
+def gains(words: list[str], gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``gain`` over the words' n-grams, and how many each word has. Whatever the words, the memory
+    besides these is that for about ``PIECE`` characters."""
+    sums, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
+    for i, j in stretches((len(w) + 2 for w in words), PIECE):
+        if len(words[i]) + 2 > PIECE:
+            total, count = 0.0, 0
+            for flat in _of_long(words[i], len(gain)):
+                total = np.cumsum(np.concatenate([[total], gain[flat]]))[-1]
+                count += len(flat)
+            sums.append(np.array([total]))
+            counts.append(np.array([count]))
+        else:
+            flat, width = subwords(words[i:j], len(gain))
+            sums.append(np.bincount(np.repeat(np.arange(j - i), width), gain[flat], j - i))
+            counts.append(width)
+    return np.concatenate(sums), np.concatenate(counts)
+
+
 def windows(count: int, size: int) -> list[tuple[int, int]]:
     """Ranges that cover ``count`` words, of ``size`` to under ``1.5 * size`` words each, half
     overlapping; one range where there are fewer words."""
@@ -95,10 +150,17 @@ def fit(texts: list[str], toxic: np.ndarray, buckets: int = 1 << 16, dim: int =
         words = WORD.findall(t.lower())
         docs.append(said_once(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)))
     words = list(numbers)
-    pieces = [subwords(words[k : k + 50_000], buckets) for k in range(0, max(1, len(words)), 50_000)]
-    flat = np.concatenate([p[0].astype(np.int32) for p in pieces])
-    width = np.concatenate([p[1] for p in pieces])
-    del numbers, words, pieces
+    flat, width = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i, j in stretches((len(w) + 2 for w in words), PIECE):
+        if len(words[i]) + 2 > PIECE:
+            flat += [f.astype(np.int32) for f in _of_long(words[i], buckets)]
+            width.append(np.array([sum(range(len(words[i]) - 3, len(words[i]) + 1))]))
+        else:
+            found, n = subwords(words[i:j], buckets)
+            flat.append(found.astype(np.int32))
+            width.append(n)
+    flat, width = np.concatenate(flat), np.concatenate(width)
+    del numbers, words
     begin = np.cumsum(width) - width
     y = toxic.astype(np.float64)
     E = rng.normal(0, 1e-3, (buckets, dim)).astype(np.float32)
@@ -166,14 +228,17 @@ class Scorer:
         self.sums, self.counts = np.zeros(0), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> list[float]:
+        return [v for i, j in stretches(map(len, texts), AT_ONCE) for v in self.some(texts[i:j])]
+
+    def some(self, texts: list[str]) -> list[float]:
         if len(self.numbers) > 1_000_000:  # memory only
             self.reset()
         said = [WORD.findall(t.lower()) for t in texts]
         new = sorted(set().union(*said).difference(self.numbers))
         if new:
-            flat, width = subwords(new, self.model["buckets"])
-            self.sums = np.concatenate([self.sums, np.bincount(np.repeat(np.arange(len(new)), width), self.model["gain"][flat], len(new))])
-            self.counts = np.concatenate([self.counts, width])
+            sums, counts = gains(new, self.model["gain"])
+            self.sums = np.concatenate([self.sums, sums])
+            self.counts = np.concatenate([self.counts, counts])
             self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
         return [self.one(words) for words in said]
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -367,6 +368,25 @@ def test_toxicity_scores_equal_brute_force():
     assert spans[0][0] == 0 and spans[-1][1] == 200 and all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
 
 
+def test_toxicity_memory_does_not_follow_the_words():
+    rng = random.Random(0)
+    long = "".join(rng.choices(string.ascii_lowercase, k=1_000_000))
+    fresh = " ".join("".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(100_000))
+    gain = np.random.default_rng(0).normal(size=4096).astype(np.float32)
+    model = {"gain": gain, "bias": 0.5, "window": 60, "buckets": 4096, "floor": 400}
+    for text in (long, fresh):
+        tracemalloc.start()
+        (got,) = toxicity.Scorer(model)([text])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1e8  # n-grams of all characters at once: some 200 bytes each
+        words = text.split()
+        flat, width = toxicity.subwords(words, 4096)
+        sums = np.bincount(np.repeat(np.arange(len(words)), width), gain[flat], len(words))
+        want = max(sums[i:j].sum() / max(400, width[i:j].sum()) for i, j in toxicity.windows(len(words), 60)) + 0.5
+        assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_toxicity(spark, odd, empty, clashing):
     texts, y, held, truth = _split(spark, "toxic", 3000)
     model = toxicity.fit(texts, y == 1)
