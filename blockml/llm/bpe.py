@@ -5,7 +5,9 @@ once: ``aggregate`` starts from the ids of the word's bytes and at each step mer
 neighbours with the lowest rank, looked up in a rank map that is part of the plan as literals (the
 ranks of the first pairs are found in Arrow batches).
 The most frequent words become a dictionary of checked size that is sent to the executors; the
-words outside it are folded where they stand, once a row, so the text never moves. Decoding takes
+words outside it are folded where they stand, once a row, so the text never moves. Words go to
+Python in pieces of ``PIECE``, because Spark bounds the rows of an Arrow batch and, by default at
+64 MB, its bytes, of which a task holds several times as much while it writes them. Decoding takes
 each id's bytes from a literal and puts them one after the other, as they are.
 """
 
@@ -33,6 +35,8 @@ PRIME = (1 << 34) + 25  # above every pair's key
 _NONE = 1 << ID_BITS  # above all ids
 _EMPTY = 1 << 60
 ROWS = 512
+#: Words of a row that goes to Python.
+PIECE = 64
 
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
@@ -169,6 +173,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def _pieces(text: Column) -> Column:
+    """The words of a text in arrays of ``PIECE``: one, without words, for an empty text, and null for null."""
+
+    def cut(found: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(found)), F.lit(PIECE))
+        return F.when(found.isNotNull(), F.transform(starts, lambda i: F.slice(found, i, PIECE)))
+
+    return let(words(text), cut)
+
+
 def _count_words(batches):
     """Distinct words of a partition with their counts."""
     held, size = [], 0
@@ -217,6 +231,32 @@ def _starts(tables):
     return run
 
 
+def _whole(batches):
+    """Batches of whole rows from rows in pieces: the first piece has number 0 and all other columns, the words
+    come last. A row's pieces may lie in several batches."""
+
+    def joined(parts):
+        b = pa.concat_batches(parts)
+        *others, number, lists = b.columns
+        first = np.flatnonzero(number.to_numpy() == 0)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        at = pa.array(first)
+        upto = pa.array(ends[np.append(first, len(number))], pa.int32())
+        together = pa.ListArray.from_arrays(upto, lists.flatten(), mask=lists.is_null().take(at))
+        return pa.RecordBatch.from_arrays([*(x.take(at) for x in others), together], names=[*b.schema.names[:-2], b.schema.names[-1]])
+
+    open_row: list[pa.RecordBatch] = []  # its last piece may be still to come
+    for b in batches:
+        first = np.flatnonzero(b.column(b.num_columns - 2).to_numpy() == 0)
+        if len(first):
+            if open_row or first[-1]:
+                yield joined([*open_row, b.slice(0, first[-1])])
+            b, open_row = b.slice(first[-1]), []
+        open_row.append(b)
+    if open_row:
+        yield joined(open_row)
+
+
 def _lookup(held, fold_bytes: int, names: tuple[str, str]):
     """Batches of word lists as segments, each the ids of known words and then one unknown word, or none
     at the row's end; and the starts of the row's unknown words, to which segments refer."""
@@ -262,7 +302,7 @@ def _lookup(held, fold_bytes: int, names: tuple[str, str]):
         return pa.RecordBatch.from_arrays([*others, pa.ListArray.from_arrays(offsets, segments, mask=missing), pa.ListArray.from_arrays(own_ends, own_words, mask=missing)], names=[*b.schema.names[:-1], *names])
 
     def run(batches):
-        for b in batches:
+        for b in _whole(batches):
             for k in range(0, b.num_rows, ROWS):  # memory follows this number, not the batch
                 yield convert(b.slice(k, ROWS))
 
@@ -276,7 +316,7 @@ def dictionary_of(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", m
     bound decides about speed and not about results.
     """
     counts = materialise(
-        docs.where(col(text).isNotNull()).select(words(col(text)).alias("w")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
+        docs.where(col(text).isNotNull()).select(F.explode(_pieces(col(text))).alias("w")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")),
         "bpe-words",
     ).where((F.octet_length("word") <= fold_bytes) & (F.col("n") > 1))
     per = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
@@ -319,8 +359,11 @@ def encode(
     columns = [c for c in docs.columns if c.lower() != name.lower()]
     segments, unknown = fresh(columns, "segments", "unknown")
     # mapInArrow takes no names with dots, so columns go by number
-    said = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(columns)), words(col(text)).alias("split"))
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in said.schema.fields[:-1])
+    numbered = [f"c{i}" for i in range(len(columns))]
+    cut = docs.select(*(col(c).alias(i) for c, i in zip(columns, numbered)), F.posexplode_outer(_pieces(col(text))).alias("piece", "split"))
+    number = F.coalesce("piece", F.lit(0))
+    said = cut.select(*(F.when(number == 0, F.col(i)).alias(i) for i in numbered), number.alias("piece"), "split")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in said.schema.fields[:-2])
     found = said.mapInArrow(_lookup(held, fold_bytes, (segments, unknown)), f"{kinds}{segments} array<struct<known: array<int>, word: int>>, {unknown} array<array<bigint>>")
 
     def filled(folded: Column) -> Column:

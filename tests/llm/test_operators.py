@@ -10,6 +10,7 @@ import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,53 @@ def test_bpe_odd_input(spark, vocabulary, empty, clashing):
     assert [r["text"] for r in bpe.decode(bad, vocabulary).collect()] == [None, None, "", None]
 
 
+def test_bpe_batches_do_not_follow_the_texts(spark, vocabulary, monkeypatch):
+    # a task holds several times a batch while it writes it; with whole rows the first batch had 30 MB
+    def watched(run, most=12e6):
+        def watch(batches):
+            def each():
+                for b in batches:
+                    if b.nbytes > most:
+                        raise ValueError(f"{b.nbytes} bytes in a batch")
+                    yield b
+
+            return run(each())
+
+        return watch
+
+    count, lookup = bpe._count_words, bpe._lookup
+    monkeypatch.setattr(bpe, "_count_words", watched(count))
+    monkeypatch.setattr(bpe, "_lookup", lambda *args: watched(lookup(*args)))
+    docs = spark.range(1000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat(' w', id % 10, ' ab'), 1666) AS text")
+    got = bpe.encode(docs, vocabulary).selectExpr("doc_id", "text", "size(tokens) AS n", "tokens").where("doc_id < 20").collect()
+    assert len(got) == 20
+    for r in got:
+        assert r["tokens"] == 1666 * bpe_ids(vocabulary, [" w", str(r["doc_id"] % 10), " ab"])
+
+
+def bpe_ids(vocabulary, found):
+    return [i for w in found for i in bpe.merge_bytes(w.encode(), vocabulary.ranks, vocabulary.pairs)]
+
+
+def test_bpe_rows_in_pieces(spark, vocabulary, odd):
+    rng = random.Random(5)
+    rows = [None if k % 7 == 3 else [f"w{rng.randrange(99)}" for _ in range(rng.choice([0, 1, 5, 40]))] for k in range(60)]
+    pieces = [(i if at == 0 else None, at // 4, None if row is None else row[at : at + 4]) for i, row in enumerate(rows) for at in range(0, max(1, len(row or ())), 4)]
+    table = pa.table([pa.array(x, kind) for x, kind in zip(zip(*pieces), (pa.int64(), pa.int32(), pa.list_(pa.string())))], names=["c0", "piece", "split"])
+    for size in (1, 2, 3, 7, 50, 10_000):
+        got = [r for b in bpe._whole(table.to_batches(size)) for r in b.to_pylist()]
+        assert got == [{"c0": i, "split": row} for i, row in enumerate(rows)]
+    assert list(bpe._whole([])) == []
+    want = sorted(map(repr, bpe.encode(odd, vocabulary).collect()))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        assert sorted(map(repr, bpe.encode(odd, vocabulary).collect())) == want
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 34, 5000))
     multipliers, slots = bpe.perfect_hash(keys)
